@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm import byte_bpe, maxscore, simhash, suffix_dedup, token_counts
+from strataquery.llm import byte_bpe, language_id, maxscore, quality, simhash, suffix_dedup, token_counts, toxicity
 from strataquery.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"], outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
@@ -24,6 +32,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -37,8 +49,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
