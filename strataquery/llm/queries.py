@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm import byte_bpe, language_id, maxscore, quality, simhash, suffix_dedup, token_counts, toxicity
+from strataquery.llm import byte_bpe, decontaminate, language_id, maxscore, quality, simhash, suffix_dedup, token_counts, toxicity
 from strataquery.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"], outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
