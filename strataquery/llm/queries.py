@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm import byte_bpe, decontaminate, language_id, maxscore, quality, simhash, suffix_dedup, token_counts, toxicity
+from strataquery.llm import byte_bpe, decontaminate, language_id, maxscore, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from strataquery.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.digests(files)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
