@@ -28,11 +28,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow, stash
+from strataquery.llm.common import free_name, map_arrow, stash
 from strataquery.llm.components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -42,17 +42,17 @@ LIMIT = 4096
 GENERATOR, SEGMENTS = 0xAE3, ((0, 23), (23, 23), (46, 18))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of a text; see the module's notes."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, distinct: bool = False) -> int:
+    """Signed 64-bit fingerprint of a text; see the module's notes. distinct: a shingle counts once."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return 0
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if shingle > 1 else words
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], "<u8")
+    h = np.array([digest(g, seed) for g in (set(grams) if distinct else grams)], "<u8")
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -252,29 +252,59 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return edges.unionByName(_linked(dealt.repartition("key").sortWithinPartitions("key"), 2 * limit + 1).where("kind = 0").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
+#: Views (shingle's words, seed, count a shingle once) that together reach copies with four fifths of their five-word shingles alike.
+WIDE = ((SHINGLE, SEED, False), (1, 1, True), (1, 2, True), (1, 3, True))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, limit: int = LIMIT, views: tuple[tuple[int, int, bool], ...] = WIDE[:1], root: str | None = None) -> DataFrame:
     """Adds fingerprint (16 hex digits) and component_id (the smallest id that links reach) to ``keep`` of ``docs``.
 
     keep: all columns by default; those called like the results give way. Texts are read
     once to hash them and not shuffled; only if texts or other columns are kept do they go along.
+    views: the fingerprints that link, the first of which is given; two documents are linked if
+    any view of theirs is within three bits. root: a further column with a number for each component, null ids or not.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id")]
     read = list(dict.fromkeys([*keep, id_col, text]))
     src = docs.select(*[docs[c] for c in read])
     at, id_at = read.index(text), read.index(id_col)
+    cols = [f"__fp{i or ''}" for i in range(len(views))]
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = [fingerprint(x.as_py(), shingle) for x in batch.column(at)]
-            return pa.RecordBatch.from_arrays([batch.column(id_at).cast(pa.int64()), *[batch.column(read.index(c)) for c in keep], pa.array(fp, pa.int64())], names=["__id", *keep, "__fp"])
+            texts = [x.as_py() for x in batch.column(at)]
+            fps = [pa.array([fingerprint(x, *v) for x in texts], pa.int64()) for v in views]
+            return pa.RecordBatch.from_arrays([batch.column(id_at).cast(pa.int64()), *[batch.column(read.index(c)) for c in keep], *fps], names=["__id", *keep, *cols])
 
         return fn
 
-    schema = T.StructType([T.StructField("__id", T.LongType()), *[src.schema[c] for c in keep], T.StructField("__fp", T.LongType())])
+    schema = T.StructType([T.StructField("__id", T.LongType()), *[src.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in cols]])
     hashed = stash(map_arrow(src, make, schema), "simhash-fingerprints")
     fps = stash(hashed.groupBy("__fp").agg(F.min("__id").alias("least")), "simhash-distinct")
-    nodes = components(links(fps.select(F.col("__fp").alias("fp")), limit), "simhash-components")
+    edges = links(fps.select(F.col("__fp").alias("fp")), limit)
+    for c in cols[1:]:
+        # in a further view, the least first fingerprint stands for each of its fingerprints
+        pairs = hashed.select("__fp", F.col(c).alias("fp")).distinct()
+        named = stash(pairs.groupBy("fp").agg(F.min("__fp").alias("name")), "simhash-view")
+        own = pairs.join(named, "fp").where("__fp <> name").select(F.col("__fp").alias("a"), F.col("name").alias("b"))
+        far = links(named.select("fp"), limit)
+        far = far.join(named.select(F.col("fp").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("name").alias("y")), "b")
+        edges = edges.unionByName(own).unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    nodes = components(edges, "simhash-components")
     named = nodes.join(fps, nodes.node == fps["__fp"]).groupBy("root").agg(F.min("least").alias("name"))
-    member = nodes.join(named, "root").select(F.col("node").alias("__fp"), "name")
-    by_fp = fps.join(member, "__fp", "left").select("__fp", F.coalesce("name", "least").alias("component_id"))
-    return hashed.join(by_fp, "__fp").select(*keep, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = nodes.join(named, "root").select(F.col("node").alias("__fp"), "name", "root")
+    by_fp = fps.join(member, "__fp", "left").select("__fp", F.coalesce("name", "least").alias("component_id"), F.coalesce("root", "__fp").alias("__root"))
+    out = [F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id", *([F.col("__root").alias(root)] if root else [])]
+    return hashed.join(by_fp, "__fp").select(*keep, *out)
+
+
+def one_of_each(docs: DataFrame, limit: int = LIMIT, views: tuple[tuple[int, int, bool], ...] = WIDE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stay: one of each group, with the smallest id (nulls last)."""
+    id_key, text_key = F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)), F.xxhash64(docs["text"])
+    light = docs.select(id_key.alias("k1"), text_key.alias("k2"), docs["text"].alias("text"))
+    groups = near_duplicates(light, "k1", keep=["k1", "k2"], limit=limit, views=views, root="group")
+    stay = groups.groupBy("group").agg(F.min(F.struct("k1", "k2")).alias("one")).select("one.*")
+    a, b, n = (free_name(docs, x) for x in ("k1", "k2", "n"))
+    rows = docs.withColumns({a: id_key, b: text_key}).join(stay.toDF(a, b), [a, b])
+    order = F.row_number().over(Window.partitionBy(a, b).orderBy(a))
+    return rows.withColumn(n, order).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
