@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that the cluster names; a local session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='strataquery-')}")
+    return df.checkpoint()
