@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataquery.llm.common import map_arrow
+from strataquery.llm.common import map_arrow, worker_state
 
 #: White space as the tokenizer's pattern understands it.
 SPACE = "\\t-\\r \\x85\\xa0"
@@ -179,17 +179,15 @@ class TextBpe:
         return np.frombuffer(b"".join(packed), "<u4")
 
 
-_LOADED: dict[tuple[str, str], TextBpe] = {}
-
-
 def load(path: str, pattern: str) -> TextBpe:
     """One encoder for each Python worker, with its caches; the rank file is read where it runs."""
-    key = (path, pattern)
-    if key not in _LOADED:
+
+    def build() -> TextBpe:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _LOADED[key] = TextBpe(ranks, pattern)
-    return _LOADED[key]
+        return TextBpe(ranks, pattern)
+
+    return worker_state(("bpe", path, pattern), build)
 
 
 #: Output columns that encode_decode can give.
@@ -234,6 +232,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
             arrays = [batch.column(read.index(c)) for c in keep] + [pa.array(cols[o], _ARROW[o]) for o in outputs]
             return pa.RecordBatch.from_arrays(arrays, names=[*keep, *outputs])
 
+        fn.keeps_state = True
         return fn
 
     from pyspark.sql import types as T

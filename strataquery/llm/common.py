@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,14 +49,50 @@ def drop_stash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a per-task function that ``make`` builds once."""
+#: What a Python worker keeps between tasks: one operator's state at a time.
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, build: Callable[[], object]) -> object:
+    """State (a model, caches) that a worker's tasks share; that of another key goes first."""
+    if key not in _STATE:
+        release()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
+def release() -> None:
+    """Drops the worker's state and gives its memory back to the system."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Rows of a batch that are worked on at a time.
+SLICE = 1000
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with a per-task function that ``make`` builds once; it gets at most SLICE rows at a time.
+
+    What an operator keeps in a worker beyond the task comes from :func:`worker_state` within ``make``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = set(_STATE)
         fn = make()
+        if before and before == set(_STATE) and not getattr(fn, "keeps_state", False):
+            release()
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for i in range(0, batch.num_rows, SLICE):
+                yield fn(batch.slice(i, SLICE))
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow, stash
+from strataquery.llm.common import map_arrow, release, stash
 
 LENGTH, HOT, CHUNK = 400, 2048, 2_000_000
 #: Low bits of a minimizer's key that hold its position, and the most bytes handled at a time.
@@ -145,6 +145,7 @@ def _slices(wanted: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
     texts = keyed.where(F.octet_length("text") >= length)
 
     def cut(batches):
+        release()
         for b in batches:
             out = [[] for _ in range(7)]
             size = 0
@@ -172,6 +173,7 @@ def _refine(slices: DataFrame, length: int) -> DataFrame:
     """(k1, k2, a, b): windows a to b of a document's lone runs that are repeated; a bucket's slices are neighbours."""
 
     def run(batches):
+        release()
         held, size = [], 0
 
         def done():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow
+from strataquery.llm.common import map_arrow, worker_state
 
 SAMPLE_DOCS, TABLE_SIZE, CACHE_SIZE, CACHED_CHARS = 20_000, 100_000, 300_000, 64
 
@@ -96,13 +96,8 @@ class Counts:
         return total
 
 
-_LOADED: dict[str, Counts] = {}
-
-
 def load(path: str) -> Counts:
-    if path not in _LOADED:
-        _LOADED[path] = Counts(path)
-    return _LOADED[path]
+    return worker_state(("counts", path), lambda: Counts(path))
 
 
 def frequent(docs: DataFrame, path: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> dict[str, int]:
@@ -149,6 +144,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: list[str]
             arrays = [batch.column(read.index(c)) for c in keep] + [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_bytes", "n_tokens"])
 
+        fn.keeps_state = True
         return fn
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.llm.byte_bpe import LETTER, NUMBER, SPACE
-from strataquery.llm.common import stash
+from strataquery.llm.common import stash, worker_state
 
 #: Tokens of a block, tokens after which a chunk ends, blocks coded in lockstep.
 BLOCK, CHUNK, LANES = 2048, 65_536, 2048
@@ -258,13 +258,8 @@ class Encoder:
         return ids.astype(np.uint16)
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def load(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return worker_state(("tokens", path), lambda: Encoder(path))
 
 
 _FILE = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
