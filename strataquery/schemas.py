@@ -26,7 +26,7 @@ class Column:
 
 
 #: Durable types and what Spark holds them in.
-KINDS = {"TEXT": T.StringType(), "BIGINT": T.LongType(), "REAL": T.FloatType(), "FLOAT4[]": T.ArrayType(T.FloatType(), False)}
+KINDS = {"TEXT": T.StringType(), "BIGINT": T.LongType(), "REAL": T.FloatType(), "FLOAT4[]": T.ArrayType(T.FloatType())}
 
 
 def _text(*names: str) -> list[Column]:

@@ -15,17 +15,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_tolerant(spark: SparkSession, path: str, columns: list[Column]) -> DataFrame:
-    """A table under its pinned schema: a missing one is empty, columns that old files lack are null or default; other errors are raised."""
+def read_tolerant(spark: SparkSession, path: str, columns: list[Column], tenant: tuple[str, str, str] | None = None) -> DataFrame:
+    """A table under its pinned schema: a missing one is empty, columns that old files lack are null or default; other errors are raised.
+
+    tenant: only that one's rows; the filter stands below the defaults, so it prunes partitions.
+    """
     schema = struct(columns)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return conform(spark.read.schema(schema).parquet(path), columns)
+    raw = spark.read.schema(schema).parquet(path)
+    return conform(in_tenancy(raw, *tenant) if tenant else raw, columns)
 
 
 def scan(spark: SparkSession, path: str, org: str, workspace: str, project: str) -> DataFrame:
     """All versions of a tenant; tables written by append() are partitioned by tenancy, so only its folders are read."""
-    df = in_tenancy(read_tolerant(spark, path, VERSIONS), org, workspace, project)
+    df = read_tolerant(spark, path, VERSIONS, (org, workspace, project))
     return df.withColumn("describe_status", known_status(F.col("describe_status")))
 
 
