@@ -64,6 +64,7 @@ class Counts:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         check_model(self.model)
+        self.bare = len(self.model.encode("a ")) - len(self.model.encode("a"))  # a space at the end of a text
         self.cache: dict[str, int] = {}
 
     def lengths(self, tokens: list[str]) -> list[int]:
@@ -76,7 +77,7 @@ class Counts:
         tokens = pre_tokens(text)
         if tokens is None:
             tokens = odd_pre_tokens(text)  # these may start with a line break that follows a space
-            found = [None if x.startswith("\n") else table.get(x) for x in tokens]
+            found = [self.bare if not x else None if x.startswith("\n") else table.get(x) for x in tokens]
             return sum(n for n in found if n is not None) + sum(len(x) for x in self.model.encode([x for x, n in zip(tokens, found, strict=True) if n is None], num_threads=1))
         found = list(map(table.get, tokens))
         if None not in found:

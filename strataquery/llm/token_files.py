@@ -187,7 +187,7 @@ def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     def shift(k: int) -> None:
         small = np.flatnonzero(span[:k] < _BOT)
         if len(small):
-            code[small] = (code[small] << _WORD) | words[small, at[small]]
+            code[small] = (code[small] << _WORD) | words[small, np.minimum(at[small], words.shape[1] - 1)]  # a damaged block may run on
             at[small] += 1
             span[small] <<= _WORD
 

@@ -87,7 +87,7 @@ class Model:
         return float((total[ok] / n[ok]).max()) + self.bias if ok.any() else None
 
     def score(self, text: str | None) -> float:
-        x = self.worst(text)
+        x = self.worst(text) if self.slope else None
         return self.floor if x is None else _sigmoid(self.slope * x + self.offset)
 
 
