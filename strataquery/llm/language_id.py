@@ -92,9 +92,12 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 def training_rows(docs: DataFrame, per_lang: int) -> tuple[list[str], list[str]]:
     """Texts and languages of at most ``per_lang`` documents a language that aren't held out."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "id"))
     known = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].alias("lang")).where("lang IS NOT NULL").where(~held_out("id"))
-    ids = known.select("id", "lang", rank.alias("rank")).where(F.col("rank") <= per_lang).select("id", "lang").distinct()
+    known = known.withColumn("hash", F.xxhash64("id"))
+    # a language may hold most rows, so its first ones are found in parts, and then among those
+    parts = known.withColumn("rank", first("lang", F.pmod("hash", F.lit(64)))).where(F.col("rank") <= per_lang)
+    ids = parts.withColumn("rank", first("lang")).where(F.col("rank") <= per_lang).select("id", "lang").distinct()
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].alias("lang"), docs["text"].alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), ["id", "lang"]).collect()
     rows.sort(key=lambda r: (r.lang, r.id, r.text))
     return [r.text for r in rows], [r.lang for r in rows]

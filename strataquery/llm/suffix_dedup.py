@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow, release, stash
+from strataquery.llm.common import map_arrow, release, stash, trim
 
-LENGTH, HOT, CHUNK = 400, 2048, 2_000_000
+LENGTH, HOT, CHUNK = 400, 1024, 500_000
 #: Low bits of a minimizer's key that hold its position, and the most bytes handled at a time.
 POS_BITS, PIECE = 24, 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -200,6 +200,7 @@ def _refine(slices: DataFrame, length: int) -> DataFrame:
                 last = row[0]
         if held:
             yield done()
+        trim()
 
     return slices.drop("hot").mapInArrow(run, "k1 long, k2 long, a int, b int")
 
