@@ -173,3 +173,18 @@ def clamp_limit(limit: object, default: int = 20, most: int = 200) -> int:
     if isinstance(limit, bool) or not isinstance(limit, int | float) or limit != limit or limit in (float("inf"), float("-inf")) or limit < 1:
         return default
     return min(int(limit), most)
+
+
+def checked_limit(limit: object, default: int = 20, most: int = 200) -> int:
+    """As clamp_limit, for callers outside: what isn't a positive whole number raises ValueError, none is the default."""
+    if limit is None:
+        return default
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
+        raise ValueError("limit must be a positive whole number")
+    return min(limit, most)
+
+
+def truncate_cell(c: Column, most: int = 72) -> Column:
+    """For display: one line, cut with an ellipsis."""
+    line = F.regexp_replace(c, "\\s+", " ")
+    return F.when(F.char_length(line) > most, F.concat(F.left(line, F.lit(most - 1)), F.lit("…"))).otherwise(line)

@@ -177,3 +177,48 @@ def ordinal_batches(files: DataFrame, per: int = PACK_FILES) -> DataFrame:
     """A simpler packing by count alone, as a window: batch = place // per, in each shard."""
     w = Window.partitionBy("shard").orderBy("path")
     return files.withColumn("batch", F.floor((F.row_number().over(w) - 1) / per).cast("long"))
+
+
+def with_retries(client: Client, attempts: int = 3, wait: Callable[[float], None] | None = None) -> Client:
+    """A client that asks again, a little later each time, when the call raises a ConnectionError or TimeoutError; other errors pass at once."""
+    import time
+
+    pause = wait or time.sleep
+
+    def ask(files: list[dict]) -> tuple[str, bool]:
+        for n in range(1, attempts + 1):
+            try:
+                return client(files)
+            except (ConnectionError, TimeoutError):
+                if n == attempts:
+                    raise
+                pause(0.5 * n)
+        raise AssertionError
+
+    return ask
+
+
+def run(files: DataFrame, versions: DataFrame, snapshot: DataFrame, ids: DataFrame, client: Client, model: str, now: str, persist: Callable[[str, DataFrame], None], provider: Callable | None = None, dim: int = 0, embed_model: str | None = None, force: bool = False, limit: int | None = None) -> dict[str, DataFrame]:
+    """A bulk load. Gives the plan; hands rows to ``persist`` (stage, rows) in order: inherited, pending, skipped, described.
+
+    ids: path, entity_id for every file, minted once by the caller and stored, so that a task that is run again gives no new ones.
+    Each stage is durable before the next one asks a model anything.
+    """
+    from strataquery.operators.versions import latest
+
+    p = plan(files, latest(versions), snapshot, force, limit)
+    named = p["todo"].join(ids, "path")
+    stages = {
+        "inherited": p["inherited"].join(ids, "path").drop("content"),
+        "pending": named.where(F.col("bucket").isin("batch", "solo")).drop("content").withColumn("describe_status", F.lit("pending")),
+        "skipped": terminal_rows(named).drop("content"),
+    }
+    for stage, rows in stages.items():
+        persist(stage, rows)
+    batched = pack(named.where("bucket = 'batch'")).withColumn("shard", F.spark_partition_id())
+    alone = named.where("bucket = 'solo'").withColumn("batch", F.xxhash64("path")).withColumn("shard", F.lit(-1))
+    cols = ["entity_id", "path", F.col("content").cast("string").alias("content"), "shard", "batch"]
+    told = describe(batched.select(*cols).unionByName(alone.select(*cols)), client, model, now)
+    done = embed(told, provider, dim, embed_model).join(named.select("entity_id", "path", "content_hash", "size_bytes", "filename", "ext"), "entity_id")
+    persist("described", done)
+    return p

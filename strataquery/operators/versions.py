@@ -118,3 +118,16 @@ def lineage_depth(edges: DataFrame, child: str = "entity_id", parent: str = "der
         if joined.where("moved").isEmpty():
             break
     return now.select(F.col("node").alias(child), F.col("up").alias("root"), "depth")
+
+
+def status(versions: DataFrame | None) -> dict[str, object]:
+    """The status view: rows by status and entities with anything pending; zeros where there is nothing to read."""
+    if versions is None:
+        return {"counts": dict.fromkeys(STATUSES, 0), "queue_depth": 0}
+    counts = {r.describe_status: r.n for r in status_histogram(versions).collect()}
+    return {"counts": {s: counts[s] for s in STATUSES}, "queue_depth": queue_depths(versions).first().any_pending}
+
+
+def unchanged_by_stat(disk: DataFrame, known: DataFrame) -> DataFrame:
+    """Files whose path, size and time are those of the last version: they needn't be read."""
+    return disk.join(known.select("path", "size_bytes", F.col("mtime_observed").alias("mtime")).distinct(), ["path", "size_bytes", "mtime"], "left_semi")

@@ -95,3 +95,11 @@ def test_limits():
 def test_origin_url():
     assert K.origin_url('[core]\n a = b\n[remote "origin"]\n\turl = git@x:y.git\n[remote "up"]\nurl = z') == "git@x:y.git"
     assert K.origin_url("[core]\nurl = z") == ""
+
+
+def test_outer_limits(spark):
+    assert C.checked_limit(None) == 20 and C.checked_limit(999) == 200
+    for bad in (0, -1, 1.5, "3", True):
+        with pytest.raises(ValueError):
+            C.checked_limit(bad)
+    assert spark.createDataFrame([("a\n" * 60,)], "t string").select(C.truncate_cell(F.col("t"))).first()[0].endswith("…")

@@ -253,3 +253,44 @@ def test_allocated_seqs(spark):
 def test_ignored_paths(spark):
     df = spark.createDataFrame([(p,) for p in ("a/.git/x", "src/a.py", "dist/x", "dist", "distant", "", "q/node_modules/z")], "path string")
     assert sorted(r.path for r in paths.without_ignored(df, ["./dist/"]).collect()) == ["distant", "src/a.py"]
+
+
+def test_bulk_load_persists_in_order(spark):
+    rows = [("a.txt", 3, b"aaa"), ("b.png", 3, b"bbb"), ("c.txt", 5000, b"c" * 5000), ("d.txt", 3, b"ddd"), ("e.txt", 3, b"eee")]
+    files = spark.createDataFrame([(p, n, bytearray(c)) for p, n, c in rows], "path string, size_bytes long, content binary")
+    ids = spark.createDataFrame([(p, "id-" + p) for p, _, _ in rows], "path string, entity_id string")
+    snapshot = load.prepared(files).where("path = 'e.txt'").select("content_hash")
+    done = []
+
+    def client(batch):
+        return json.dumps([{"id": f["id"], "title": f["content"][:3], "description": "d", "concepts": []} for f in batch]), False
+
+    empty = spark.createDataFrame([], VERSION)
+    load.run(files, empty, snapshot, ids, load.with_retries(client), "m", "now", lambda stage, df: done.append((stage, sorted(r.entity_id for r in df.collect()))))
+    assert done == [("inherited", ["id-e.txt"]), ("pending", ["id-a.txt", "id-c.txt", "id-d.txt"]), ("skipped", ["id-b.png"]), ("described", ["id-a.txt", "id-c.txt", "id-d.txt"])]
+
+
+def test_retries():
+    calls, waits = [], []
+
+    def client(files):
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "[]", False
+
+    assert load.with_retries(client, wait=waits.append)([]) == ("[]", False) and waits == [0.5, 1.0]
+    with pytest.raises(KeyError):
+        load.with_retries(lambda f: {}["x"])([])
+
+
+def test_status_view(spark):
+    assert V.status(None)["queue_depth"] == 0
+    s = V.status(spark.createDataFrame([version(), version(entity_id="b", describe_status="pending"), version(entity_id="b", seq=1)], VERSION))
+    assert s["queue_depth"] == 1 and s["counts"]["described"] == 2 and s["counts"]["deleted"] == 0
+
+
+def test_stat_fast_path(spark):
+    disk = spark.createDataFrame([("a", 1, "t"), ("b", 2, "t")], "path string, size_bytes long, mtime string")
+    known = spark.createDataFrame([("a", 1, "t"), ("b", 2, "u")], "path string, size_bytes long, mtime_observed string")
+    assert [r.path for r in V.unchanged_by_stat(disk, known).collect()] == ["a"]

@@ -143,3 +143,21 @@ def test_json_files(spark, tmp_path):
     assert files.load_state(put("[]")) == {"paused": False, "projects": {}}
     assert files.reviews(spark, put([{"id": "1", "candidate": "c", "new_path": "p"}, {"id": "2"}])).count() == 1
     assert files.ignore_prefixes(put({"ignore": ["a", 1, ""]})) == ["a"] and files.ignore_prefixes(put("x")) == []
+
+
+def test_supervision_waits_longer_and_gives_up(spark, tmp_path):
+    waits, runs = [], []
+
+    def fails():
+        runs.append(1)
+        raise OSError
+
+    assert ingest.supervise(fails, wait=waits.append) == "degraded" and waits == [1, 2, 4, 8, 16] and len(runs) == 6
+    src, seen = str(tmp_path / "src"), []
+    spark.range(3).write.parquet(src)
+    stream = spark.readStream.schema("id long").parquet(src)
+    beat = ingest.Heartbeat()
+    spark.streams.addListener(beat)
+    assert ingest.supervise(lambda: ingest.write_last(stream, lambda b: seen.append(b.count()), str(tmp_path / "cp"), None)) == "stopped"
+    spark.streams.removeListener(beat)
+    assert seen == [3]
