@@ -6,7 +6,9 @@ Every byte goes that lies in a string of ``length`` bytes which also starts anyw
    the least hash, the leftmost of equals. Windows of a document with the same minimizer are
    neighbours and make a run. Equal windows have equal minimizers, so runs are grouped by their
    q-gram (the initial bucket) and, within it, by the hash of their bytes. Runs that are alike
-   are repeated as a whole; they need no more work, however many there are.
+   are repeated as a whole; they need no more work, however many there are. Neighbouring runs, four on
+   average and cut by their q-grams, are first grouped as one piece, so that of a copied
+   stretch only one copy's runs are looked at.
 2. Refinement. A bucket with different runs, one of them alone, needs its bytes: one run of each
    kind goes to the bucket's task. There, positions start in buckets of 8-grams, which
    are refined by sorting on the pair of bucket numbers at the position and at a later offset,
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow, release, stash, trim
+from strataquery.llm.common import drop_stash, map_arrow, release, stash, trim
 
 LENGTH, HOT, CHUNK = 400, 1024, 500_000
 #: Low bits of a minimizer's key that hold its position, and the most bytes handled at a time.
@@ -52,15 +54,24 @@ def gram(length: int) -> int:
 
 
 def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(hash of q-gram, hash of bytes, first window, windows, minimizer's offset) of each run of a text."""
+    """(hash of q-gram, hash of bytes, first window, windows) of each run of a text."""
     parts = [_runs(data[i : i + PIECE + length - 1], length, i) for i in range(0, max(1, len(data) - length + 1), PIECE)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def pieces(data: bytes, h: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first run, hash of bytes) of each piece: a run starts one if its q-gram says so, a quarter of them do."""
+    start = np.flatnonzero(np.append(True, (h[1:].view(np.uint64) * _B) >> np.uint64(62) == 0)) if len(h) else np.empty(0, np.int64)
+    last = np.append(start[1:], len(h)) - 1
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    ends = (first[last].astype(np.int64) + windows[last] + length - 1).tolist() if len(h) else []
+    return start, np.array([digest(view[x:y]) for x, y in zip(first[start].tolist(), ends, strict=True)], np.uint64).view(np.int64)
+
+
 def _runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
     q = gram(length)
     g = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _A
     k = 1
@@ -86,7 +97,7 @@ def _runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     view = memoryview(data)
     own = np.array([digest(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist(), strict=True)], np.uint64)
     at = pos[first]
-    return g[at].view(np.int64), own.view(np.int64), (first + shift).astype(np.int32), count.astype(np.int32), (at - first).astype(np.int32)
+    return g[at].view(np.int64), own.view(np.int64), (first + shift).astype(np.int32), count.astype(np.int32)
 
 
 def repeated(data: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
@@ -229,21 +240,38 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) ->
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out, k1, k2 = [], [], []
+            out, k1, k2, first_run, at = [], [], [], [], 0
             for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                r = runs(text.as_py().encode("utf-8", "replace"), length)
-                out.append(r)
-                k1.append(np.full(len(r[0]), a))
-                k2.append(np.full(len(r[0]), b))
-            cols = [np.concatenate(k1).astype(np.int64), np.concatenate(k2).astype(np.int64), *(np.concatenate(x) for x in zip(*out, strict=True))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["k1", "k2", "h", "r", "first", "windows", "off"])
+                data = text.as_py().encode("utf-8", "replace")
+                h, r, first, windows = runs(data, length)
+                start, digest = pieces(data, h, first, windows, length)
+                out.append((h, r, first, windows, digest))
+                first_run.append(start + at)
+                at += len(h)
+                k1.append(np.full(len(start), a))
+                k2.append(np.full(len(start), b))
+            h, r, first, windows, digest = (np.concatenate(x) for x in zip(*out, strict=True))
+            start = np.concatenate(first_run).astype(np.int32)
+            own = pa.StructArray.from_arrays([pa.array(h), pa.array(r), pa.array(first), pa.array(windows)], names=["h", "r", "first", "windows"])
+            cols = [np.concatenate(k1).astype(np.int64), np.concatenate(k2).astype(np.int64), h[start], digest, first[start], (np.add.reduceat(windows, start) if len(start) else first).astype(np.int32)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, at).astype(np.int32)), own)
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=["k1", "k2", "ph", "pr", "first", "windows", "runs"])
 
         return fn
 
     long_enough = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
-    rows = stash(map_arrow(long_enough, make, "k1 long, k2 long, h long, r long, first int, windows int, off int"), "suffix-runs")
-    kinds = stash(rows.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "windows")).alias("one")), "suffix-kinds")
-    whole = rows.join(kinds.where("n > 1").select("h", "r"), ["h", "r"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
+    found = stash(map_arrow(long_enough, make, "k1 long, k2 long, ph long, pr long, first int, windows int, runs array<struct<h:long,r:long,first:int,windows:int>>"), "suffix-pieces")
+    alike = found.groupBy("ph", "pr").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one"))
+    # one of equal pieces goes on with its runs, which count as often as the piece
+    stands = F.col("one") == F.struct("k1", "k2", "first")
+    joined = found.join(alike, ["ph", "pr"]).select("k1", "k2", "first", "windows", "n", F.when(stands, F.col("runs")).alias("runs"))
+    known = stash(joined.where("n > 1 OR runs IS NOT NULL"), "suffix-known")
+    drop_stash(found)
+    rows = stash(known.where("runs IS NOT NULL").select("k1", "k2", "n", F.inline("runs")), "suffix-runs")
+    copies = known.where("n > 1").select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
+    kinds = stash(rows.groupBy("h", "r").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "first", "windows")).alias("one")), "suffix-kinds")
+    whole = rows.where("n = 1").join(kinds.where("n > 1").select("h", "r"), ["h", "r"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
+    whole = copies.unionByName(whole)
     buckets = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     wanted = kinds.join(buckets, "h").select("one.*", "h", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
     slices = _slices(wanted, keyed, length)
