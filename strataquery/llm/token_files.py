@@ -36,7 +36,7 @@ from strataquery.llm.common import stash, worker_state
 #: Tokens of a block, tokens after which a chunk ends, blocks coded in lockstep.
 BLOCK, CHUNK, LANES = 2048, 65_536, 2048
 MAGIC, HEADER = 0x53514231, struct.Struct("<IIII")
-CACHE_SIZE, CACHED_CHARS = 500_000, 48
+CACHE_SIZE, CACHED_CHARS = 800_000, 48
 
 #: Symbols: hits of order 2 and 1, then 14 classes of ids: each of the first 2^FIRST ids' halves and so on upwards.
 SYMBOLS, HIT2, HIT1, FIRST = 16, 0, 1, 3
@@ -45,48 +45,70 @@ _LOW_BITS = np.array([0, 0, FIRST, *range(FIRST, 16)], np.uint64)
 _BASE = np.array([0, 0, 0, *(1 << b for b in range(FIRST, 16))], np.int64)
 #: Rows of counts of order 1 and 2, entries of the predictions of order 1 and 2: powers of two.
 ROWS1, ROWS2, LAST1, LAST2 = 64, 256, 2048, 4096
-#: What a seen symbol adds to the counts of each order, and the total from which they are halved.
-RATE, LIMIT = (24, 32, 48), 6000
-_FLOOR = np.arange(SYMBOLS + 1, dtype=np.uint16)
-_STEP = [((np.arange(SYMBOLS + 1)[None, :] > np.arange(SYMBOLS)[:, None]) * r).astype(np.uint16) for r in RATE]
-_BOT, _WORD = np.uint64(1 << 16), np.uint64(16)
+#: What a seen symbol adds to the counts (twice in order 2), and the mixed total from which a lane's rows are halved.
+RATE, LIMIT = 32, 16_000
+_FLOOR = np.arange(1, SYMBOLS + 1, dtype=np.uint16)
+_STEP = ((np.arange(SYMBOLS)[None, :] >= np.arange(SYMBOLS)[:, None]) * RATE).astype(np.uint16)
+_BOT, _WORD, _MASK = np.uint64(1 << 31), np.uint64(31), np.uint64((1 << 31) - 1)
 
 
 class _Model:
-    """Counts and predictions of each lane; lanes are the first k at every step."""
+    """Counts and predictions of each lane; lanes are the first k at every step.
+
+    A row of counts holds the running sum up to each symbol, so rows of several orders add up to the mixed one.
+    """
 
     def __init__(self, lanes: int):
-        self.counts = [np.zeros((lanes * n, SYMBOLS + 1), np.uint16) for n in (1, ROWS1, ROWS2)]
+        self.counts = [np.zeros((lanes * n, SYMBOLS), np.uint16) for n in (1, ROWS1, ROWS2)]
         self.last1, self.last2 = np.zeros(lanes * LAST1, np.uint16), np.zeros(lanes * LAST2, np.uint16)
         lane = np.arange(lanes)
-        self.at0, self.at1, self.at2, self.to1, self.to2 = lane, lane * ROWS1, lane * ROWS2, lane * LAST1, lane * LAST2
+        self.at1, self.at2, self.to1, self.to2 = lane * ROWS1, lane * ROWS2, lane * LAST1, lane * LAST2
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def look(self, k: int) -> np.ndarray:
-        """Mixed cumulative counts of the symbols, k x 17."""
+        """Mixed running sums of the symbols, k x 16."""
         a, b = self.prev1[:k], self.prev2[:k]
         h1 = a * 40503
-        h2 = (a * 40503 + b * 30011) * 2654435761
+        h2 = (h1 + b * 30011) * 2654435761
         h2 ^= h2 >> 17
-        self.rows = [self.at0[:k], self.at1[:k] + (h1 >> 5 & ROWS1 - 1), self.at2[:k] + (h2 >> 13 & ROWS2 - 1)]
+        self.row1, self.row2 = self.at1[:k] + (h1 >> 5 & ROWS1 - 1), self.at2[:k] + (h2 >> 13 & ROWS2 - 1)
         self.slot1, self.slot2 = self.to1[:k] + (h1 & LAST1 - 1), self.to2[:k] + (h2 & LAST2 - 1)
-        self.guess1, self.guess2 = self.last1[self.slot1].astype(np.int64), self.last2[self.slot2].astype(np.int64)
-        self.seen = [c.take(r, axis=0) for c, r in zip(self.counts, self.rows, strict=True)]
-        return self.seen[0] + self.seen[1] + self.seen[2] + _FLOOR
-
-    def learn(self, k: int, symbol: np.ndarray, ids: np.ndarray) -> None:
-        for c, r, seen, step in zip(self.counts, self.rows, self.seen, _STEP, strict=True):
-            seen += step.take(symbol, axis=0)
-            full = seen[:, -1] > LIMIT
-            if full.any():
-                seen[full] >>= 1
-            c[r] = seen
+        self.guess1, self.guess2 = self.last1.take(self.slot1), self.last2.take(self.slot2)
+        self.seen1, self.seen2 = self.counts[1].take(self.row1, axis=0), self.counts[2].take(self.row2, axis=0)
+        mixed = self.seen1 + self.seen2
+        mixed += self.counts[0][:k]
+        mixed += _FLOOR
+        return mixed
+
+    def learn(self, k: int, symbol: np.ndarray, ids: np.ndarray, total: np.ndarray) -> None:
+        """total: the mixed counts' last column."""
+        step = _STEP.take(symbol, axis=0)
+        own = self.counts[0][:k]
+        own += step
+        self.seen1 += step
+        self.seen2 += step
+        self.seen2 += step
+        if int(total.max()) > LIMIT:
+            full = total > LIMIT
+            own[full] >>= 1
+            self.seen1[full] >>= 1
+            self.seen2[full] >>= 1
+        self.counts[1][self.row1] = self.seen1
+        self.counts[2][self.row2] = self.seen2
         self.last1[self.slot1] = ids
         self.last2[self.slot2] = ids
         self.prev2[:k] = self.prev1[:k]
         self.prev1[:k] = ids
 
 
+def _edges(cum: np.ndarray, symbol: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a symbol's share of the sums starts, and its size."""
+    flat = cum.ravel()
+    at = rows + symbol
+    lo = np.where(symbol > 0, flat.take(np.maximum(at - 1, 0)), 0).astype(np.uint64)
+    return lo, flat.take(at).astype(np.uint64) - lo
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (below 65,536) as header and code."""
     out: list[bytes] = [b""] * len(blocks)
@@ -112,41 +134,36 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     model = _Model(n)
-    low, span, at = np.zeros(n, np.uint64), np.full(n, 1 << 32, np.uint64), np.zeros(n, np.int64)
-    words = np.zeros((n, 2 * len(ids) + 8), np.uint32)
-    lane = np.arange(n)
-
-    def shift(k: int) -> None:
-        small = np.flatnonzero(span[:k] < _BOT)
-        if len(small):
-            v = low[small]
-            words[small, at[small]] = (v >> _WORD).astype(np.uint32)  # a 17th bit is a carry
-            at[small] += 1
-            low[small] = (v & np.uint64(0xFFFF)) << _WORD
-            span[small] <<= _WORD
-
+    low, span, at = np.zeros(n, np.uint64), np.full(n, 1 << 62, np.uint64), np.zeros(n, np.int64)
+    words = np.zeros((n, len(ids) + 8), np.uint32)
+    lane, row = np.arange(n), np.arange(n) * SYMBOLS
     for t, k in enumerate(_active(sizes)):
-        x = ids[t, :k].astype(np.int64)
+        x = ids[t, :k]
         cum = model.look(k)
-        symbol = np.where(x == model.guess2, HIT2, np.where(x == model.guess1, HIT1, _CLASS[x]))
-        lo, hi = cum[lane[:k], symbol].astype(np.uint64), cum[lane[:k], symbol + 1].astype(np.uint64)
-        unit = span[:k] // cum[:, -1].astype(np.uint64)
+        total = cum[:, -1]
+        symbol = np.where(x == model.guess2, HIT2, np.where(x == model.guess1, HIT1, _CLASS.take(x)))
+        lo, size = _edges(cum, symbol, row[:k])
+        bits = _LOW_BITS.take(symbol)
+        unit = span[:k] // total
         low[:k] += unit * lo
-        span[:k] = unit * (hi - lo)
-        shift(k)
-        bits = _LOW_BITS[symbol]
-        unit = span[:k] >> bits
-        low[:k] += unit * np.where(bits > 0, x - _BASE[symbol], 0).astype(np.uint64)
+        unit = unit * size >> bits
+        low[:k] += unit * np.where(bits > 0, x - _BASE.take(symbol), 0).astype(np.uint64)
         span[:k] = unit
-        shift(k)
-        model.learn(k, symbol, x)
-    for half in (low >> _WORD, low & np.uint64(0xFFFF)):
-        words[lane, at] = half.astype(np.uint32)
+        small = np.flatnonzero(unit < _BOT)
+        if len(small):
+            v = low[small]
+            words[small, at[small]] = v >> _WORD  # a 32nd bit is a carry
+            at[small] += 1
+            low[small] = (v & _MASK) << _WORD
+            span[small] <<= _WORD
+        model.learn(k, symbol, x, total)
+    for half in (low >> _WORD, low & _MASK):
+        words[lane, at] = half
         at += 1
     for j in range(int(at.max(initial=1)) - 1, 0, -1):
-        words[:, j - 1] += words[:, j] >> 16
-        words[:, j] &= 0xFFFF
-    return [words[i, : at[i]].astype("<u2").tobytes() for i in range(n)]
+        words[:, j - 1] += words[:, j] >> np.uint32(31)
+        words[:, j] &= np.uint32(_MASK)
+    return [words[i, : at[i]].astype("<u4").tobytes() for i in range(n)]
 
 
 def decode_blocks(payloads: list[bytes]) -> list[list[np.ndarray]]:
@@ -176,40 +193,35 @@ def decode_blocks(payloads: list[bytes]) -> list[list[np.ndarray]]:
 
 def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     n = len(codes)
-    words = np.zeros((n, max(map(len, codes), default=0) // 2 + 4), np.uint64)
+    words = np.zeros((n, max(map(len, codes), default=0) // 4 + 4), np.uint32)
     for i, c in enumerate(codes):
-        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
+        words[i, : len(c) // 4] = np.frombuffer(c, "<u4", len(c) // 4)
     ids = np.zeros((int(sizes[0]) if n else 0, n), np.uint16)
     model = _Model(n)
-    code, span, at = (words[:, 0] << _WORD) | words[:, 1], np.full(n, 1 << 32, np.uint64), np.full(n, 2)
-    lane = np.arange(n)
-
-    def shift(k: int) -> None:
-        small = np.flatnonzero(span[:k] < _BOT)
-        if len(small):
-            code[small] = (code[small] << _WORD) | words[small, np.minimum(at[small], words.shape[1] - 1)]  # a damaged block may run on
-            at[small] += 1
-            span[small] <<= _WORD
-
+    code, span, at = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1], np.full(n, 1 << 62, np.uint64), np.full(n, 2)
+    row, end = np.arange(n) * SYMBOLS, words.shape[1] - 1
     for t, k in enumerate(_active(sizes)):
         cum = model.look(k)
-        total = cum[:, -1].astype(np.uint64)
+        total = cum[:, -1]
         unit = span[:k] // total
-        v = np.minimum(code[:k] // unit, total - np.uint64(1)).astype(np.uint16)
-        symbol = (cum[:, 1:] <= v[:, None]).sum(axis=1)
-        lo, hi = cum[lane[:k], symbol].astype(np.uint64), cum[lane[:k], symbol + 1].astype(np.uint64)
-        code[:k] -= unit * lo
-        span[:k] = unit * (hi - lo)
-        shift(k)
-        bits = _LOW_BITS[symbol]
-        unit = span[:k] >> bits
-        rest = np.where(bits > 0, code[:k] // unit, np.uint64(0))
-        code[:k] -= unit * rest
+        v = np.minimum(code[:k] // unit, total - 1).astype(np.uint16)
+        below = np.bitwise_count((cum <= v[:, None]).view(np.uint64))
+        symbol = (below[:, 0] + below[:, 1]).astype(np.int64)
+        lo, size = _edges(cum, symbol, row[:k])
+        bits = _LOW_BITS.take(symbol)
+        left = code[:k] - unit * lo
+        unit = unit * size >> bits
+        rest = np.where(bits > 0, left // unit, np.uint64(0))
+        code[:k] = left - unit * rest
         span[:k] = unit
-        shift(k)
-        x = np.where(symbol == HIT2, model.guess2, np.where(symbol == HIT1, model.guess1, _BASE[symbol] + rest.astype(np.int64)))
+        small = np.flatnonzero(unit < _BOT)
+        if len(small):
+            code[small] = (code[small] << _WORD) | words[small, np.minimum(at[small], end)]  # a damaged block may run on
+            at[small] += 1
+            span[small] <<= _WORD
+        x = np.where(symbol == HIT2, model.guess2, np.where(symbol == HIT1, model.guess1, _BASE.take(symbol) + rest.astype(np.int64))).astype(np.uint16)
         ids[t, :k] = x
-        model.learn(k, symbol, x)
+        model.learn(k, symbol, x, total)
     return [ids[: sizes[i], i] for i in range(n)]
 
 
