@@ -1,7 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is a minimum over neighbours and a join, both on light rows (two longs); nothing
-goes to the driver but two numbers a round. Rounds grow with the logarithm of the longest path.
+goes to the driver but two numbers a round. Rounds grow with the logarithm of the longest path. The minima are
+kept as a table before the join: both sides then are plain shuffles, which Spark splits where a
+hub has many neighbours.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from strataquery.llm.common import drop_stash, stash
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components-least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stash(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

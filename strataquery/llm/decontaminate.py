@@ -15,8 +15,7 @@
    its last fifth.
 
 The corpus is read twice and never shuffled. The benchmark is broadcast in blocks of at most
-``ITEMS`` items, one search pass a block, so what is broadcast is bounded however large it is; an item counts for at
-most its first ``LONGEST`` words only in the size of a block, never in the check.
+``ITEMS`` items, one search pass a block, so what is broadcast doesn't grow with the number of items.
 
 Defined results: null and empty texts, and items without words, match nothing; null item ids still
 contaminate; among equally good items the smallest id is named; repeated rows each get a row; extra columns
@@ -26,7 +25,7 @@ pass through; an empty corpus gives an empty result, an empty benchmark clean do
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow
+from strataquery.llm.common import map_arrow, stash
 from strataquery.llm.toxicity import words_of
 
-BLOCK, WINDOW, RANK, POWER, ITEMS, LONGEST = 16, 48, 256, 2, 2000, 4096
+BLOCK, WINDOW, RANK, POWER, ITEMS = 16, 48, 256, 2, 2000
 SURE, LIKELY, COSINE, COMMON = 0.75, 0.55, 0.5, 0.2
 
 
@@ -212,35 +211,48 @@ def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
 ADDED = (("contaminated", T.BooleanType(), pa.bool_()), ("item_id", T.LongType(), pa.int64()), ("item_share", T.DoubleType(), pa.float64()), ("cosine", T.DoubleType(), pa.float64()))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, block: int = ITEMS) -> DataFrame:
-    """Adds contaminated, item_id, item_share and cosine to ``keep`` (all columns by default) of ``docs``.
-
-    benchmark: item_id, text and maybe answer. Items go in blocks of ``block``; each block's
-    index is one more broadcast in the same pass over the documents.
-    """
+def _searched(docs: DataFrame, keep: list[str], text: str, index: Index, hits_only: bool) -> DataFrame:
+    """``keep`` with the result of one block of items, for all documents or only for hits."""
     names = [n for n, _, _ in ADDED]
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    answers = "answer" in benchmark.columns
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text", *(["answer"] if answers else []))
-    indexes, held = [], []
-    for r in items.where("text IS NOT NULL").orderBy("id", "text").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            indexes.append(docs.sparkSession.sparkContext.broadcast(build(held, answers, docs, text)))
-            held = []
-    if held:
-        indexes.append(docs.sparkSession.sparkContext.broadcast(build(held, answers, docs, text)))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
 
     def make():
-        def best(x: str | None) -> tuple:
-            found = [i.value.search(x) for i in indexes]
-            return max(found, key=lambda f: (f[0], f[2], -_key(f[1]))) if found else (False, None, 0.0, 0.0)
+        own = shared.value
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = list(zip(*(best(x.as_py()) for x in batch.column(len(keep))), strict=True))
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, (_, _, t) in zip(out, ADDED, strict=True)]], names=[*keep, *names])
+            out = list(zip(*(own.search(x.as_py()) for x in batch.column(len(keep))), strict=True))
+            found = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, (_, _, t) in zip(out, ADDED, strict=True)]], names=[*keep, *names])
+            return found.filter(found.column(len(keep))) if hits_only else found
 
         return fn
 
     return map_arrow(src, make, T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t, _ in ADDED]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, block: int = ITEMS) -> DataFrame:
+    """Adds contaminated, item_id, item_share and cosine to ``keep`` (all columns by default) of ``docs`` (doc_id, text, ...).
+
+    benchmark: item_id, text and maybe answer. With more than ``block`` items, each block is one pass that keeps its
+    hits, which are few; the best hit of a document is joined to it at the end.
+    """
+    names = [n for n, _, _ in ADDED]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    answers = "answer" in benchmark.columns
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text", *(["answer"] if answers else [])).where("text IS NOT NULL")
+    rows = iter(items.orderBy("id", "text").toLocalIterator())
+    first = list(islice(rows, block))
+    held = list(islice(rows, block))
+    if not held:
+        return _searched(docs, keep, text, build(first, answers, docs, text), False)
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(docs[text]).alias("k2")]
+    light = docs.select(*key, docs[text].alias("text"))
+    hits = None
+    for part in chain([first, held], iter(lambda: list(islice(rows, block)), [])):
+        found = stash(_searched(light, ["k1", "k2"], "text", build(part, answers, docs, text), True), "leaks")
+        hits = found if hits is None else hits.unionByName(found)
+    order = F.struct("item_share", F.negative(F.coalesce("item_id", F.lit(2**63 - 1))).alias("o"))
+    best = stash(hits.groupBy("k1", "k2").agg(F.max_by(F.struct(*names), order).alias("best")), "leaks-best")
+    out = docs.select(*key, F.struct(*[docs[c] for c in keep]).alias("kept") if keep else F.lit(0).alias("kept")).join(best, ["k1", "k2"], "left")
+    none = {"contaminated": F.lit(False), "item_share": F.lit(0.0), "cosine": F.lit(0.0), "item_id": F.lit(None).cast("long")}
+    return out.select(*[F.col("kept")[c].alias(c) for c in keep], *[F.coalesce(F.col("best")[n], none[n]).alias(n) for n in names])

@@ -292,9 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         far = far.join(named.select(F.col("fp").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("name").alias("y")), "b")
         edges = edges.unionByName(own).unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b")))
     nodes = components(edges, "simhash-components")
-    named = nodes.join(fps, nodes.node == fps["__fp"]).groupBy("root").agg(F.min("least").alias("name"))
+    # tables before joins: two plain shuffles, which Spark splits where a fingerprint or a group holds many rows
+    named = stash(nodes.join(fps, nodes.node == fps["__fp"]).groupBy("root").agg(F.min("least").alias("name")), "simhash-names")
     member = nodes.join(named, "root").select(F.col("node").alias("__fp"), "name", "root")
-    by_fp = fps.join(member, "__fp", "left").select("__fp", F.coalesce("name", "least").alias("component_id"), F.coalesce("root", "__fp").alias("__root"))
+    by_fp = stash(fps.join(member, "__fp", "left").select("__fp", F.coalesce("name", "least").alias("component_id"), F.coalesce("root", "__fp").alias("__root")), "simhash-by-fingerprint")
     out = [F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id", *([F.col("__root").alias(root)] if root else [])]
     return hashed.join(by_fp, "__fp").select(*keep, *out)
 
@@ -306,6 +307,9 @@ def one_of_each(docs: DataFrame, limit: int = LIMIT, views: tuple[tuple[int, int
     groups = near_duplicates(light, "k1", keep=["k1", "k2"], limit=limit, views=views, root="group")
     stay = groups.groupBy("group").agg(F.min(F.struct("k1", "k2")).alias("one")).select("one.*")
     a, b, n = (free_name(docs, x) for x in ("k1", "k2", "n"))
-    rows = docs.withColumns({a: id_key, b: text_key}).join(stay.toDF(a, b), [a, b])
-    order = F.row_number().over(Window.partitionBy(a, b).orderBy(a))
-    return rows.withColumn(n, order).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({a: id_key, b: text_key})
+    if not light.groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        # whole rows that repeat: each task keeps its first before the shuffle
+        order = F.row_number().over(Window.partitionBy(a, b).orderBy(a))
+        rows = rows.withColumn(n, order).where(F.col(n) == 1).drop(n)
+    return rows.join(stay.toDF(a, b), [a, b]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ Every byte goes that lies in a string of ``length`` bytes which also starts anyw
    the least hash, the leftmost of equals. Windows of a document with the same minimizer are
    neighbours and make a run. Equal windows have equal minimizers, so runs are grouped by their
    q-gram (the initial bucket) and, within it, by the hash of their bytes. Runs that are alike
-   are repeated as a whole; they need no more work, however many there are. Neighbouring runs, four on
+   are repeated as a whole; they need no more work, however many there are. Neighbouring runs, two on
    average and cut by their q-grams, are first grouped as one piece, so that of a copied
    stretch only one copy's runs are looked at.
 2. Refinement. A bucket with different runs, one of them alone, needs its bytes: one run of each
@@ -60,8 +60,8 @@ def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
 
 
 def pieces(data: bytes, h: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first run, hash of bytes) of each piece: a run starts one if its q-gram says so, a quarter of them do."""
-    start = np.flatnonzero(np.append(True, (h[1:].view(np.uint64) * _B) >> np.uint64(62) == 0)) if len(h) else np.empty(0, np.int64)
+    """(index of the first run, hash of bytes) of each piece: a run starts one if its q-gram says so, half of them do: a passage of m runs then takes about m/2 + 2 rows, the least near m = 8."""
+    start = np.flatnonzero(np.append(True, (h[1:].view(np.uint64) * _B) >> np.uint64(63) == 0)) if len(h) else np.empty(0, np.int64)
     last = np.append(start[1:], len(h)) - 1
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     ends = (first[last].astype(np.int64) + windows[last] + length - 1).tolist() if len(h) else []
@@ -231,7 +231,7 @@ def _counted(slices: DataFrame, length: int) -> DataFrame:
                 )
 
     rows = stash(slices.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, a int, alone boolean"), "suffix-windows")
-    twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+    twice = stash(rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), "suffix-twice")
     return rows.where("alone").join(twice, ["w1", "w2"]).select("k1", "k2", "a", F.col("a").alias("b"))
 
 
@@ -261,18 +261,20 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) ->
 
     long_enough = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
     found = stash(map_arrow(long_enough, make, "k1 long, k2 long, ph long, pr long, first int, windows int, runs array<struct<h:long,r:long,first:int,windows:int>>"), "suffix-pieces")
-    alike = found.groupBy("ph", "pr").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one"))
+    # what is counted is kept as a table before it is joined: both sides then are plain shuffles, which Spark splits where a group is large
+    alike = stash(found.groupBy("ph", "pr").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")), "suffix-alike")
     # one of equal pieces goes on with its runs, which count as often as the piece
     stands = F.col("one") == F.struct("k1", "k2", "first")
     joined = found.join(alike, ["ph", "pr"]).select("k1", "k2", "first", "windows", "n", F.when(stands, F.col("runs")).alias("runs"))
     known = stash(joined.where("n > 1 OR runs IS NOT NULL"), "suffix-known")
     drop_stash(found)
+    drop_stash(alike)
     rows = stash(known.where("runs IS NOT NULL").select("k1", "k2", "n", F.inline("runs")), "suffix-runs")
     copies = known.where("n > 1").select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
     kinds = stash(rows.groupBy("h", "r").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "first", "windows")).alias("one")), "suffix-kinds")
     whole = rows.where("n = 1").join(kinds.where("n > 1").select("h", "r"), ["h", "r"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
     whole = copies.unionByName(whole)
-    buckets = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
+    buckets = stash(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1"), "suffix-buckets")
     wanted = kinds.join(buckets, "h").select("one.*", "h", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
     slices = _slices(wanted, keyed, length)
     if buckets.where(F.col("kinds") > hot).isEmpty():

@@ -3,7 +3,7 @@
 The model's pieces never hold a space after another character, so a text falls into
 pre-tokens that start at a space and are encoded apart. Tier one is a compact table of the
 frequent pre-tokens' lengths in tokens, broadcast to the workers: it comes from a sample of
-at most ``sample_docs`` documents and has at most ``table_size`` entries, and so is bounded
+about ``sample_docs`` documents and has at most ``table_size`` entries, and so is bounded
 however large the input is; it changes speed, never a count. Tier two is each worker's
 cache: the library encodes a missed pre-token once. Pre-tokens are never shuffled (the
 sample's own counts apart).
@@ -104,7 +104,7 @@ def load(path: str) -> Counts:
 def frequent(docs: DataFrame, path: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> dict[str, int]:
     """The broadcast table: pre-tokens of a bounded sample, the most frequent first, with their lengths."""
     n = docs.count()
-    share = docs if n <= sample_docs else docs.sample(sample_docs / n, seed=1).limit(sample_docs)
+    share = docs if n <= sample_docs else docs.sample(sample_docs / n, seed=1)
 
     def count(batches):
         seen: Counter[str] = Counter()
