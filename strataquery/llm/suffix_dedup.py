@@ -6,9 +6,8 @@ Every byte goes that lies in a string of ``length`` bytes which also starts anyw
    the least hash, the leftmost of equals. Windows of a document with the same minimizer are
    neighbours and make a run. Equal windows have equal minimizers, so runs are grouped by their
    q-gram (the initial bucket) and, within it, by the hash of their bytes. Runs that are alike
-   are repeated as a whole; they need no more work, however many there are. Neighbouring runs, two on
-   average and cut by their q-grams, are first grouped as one piece, so that of a copied
-   stretch only one copy's runs are looked at.
+   are repeated as a whole; they need no more work, however many there are. Equal runs of one
+   document are one row with its places.
 2. Refinement. A bucket with different runs, one of them alone, needs its bytes: one run of each
    kind goes to the bucket's task. There, positions start in buckets of 8-grams, which
    are refined by sorting on the pair of bucket numbers at the position and at a later offset,
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import drop_stash, map_arrow, release, stash, trim
+from strataquery.llm.common import map_arrow, release, stash, trim
 
 LENGTH, HOT, CHUNK = 400, 1024, 500_000
 #: Low bits of a minimizer's key that hold its position, and the most bytes handled at a time.
@@ -59,13 +58,11 @@ def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def pieces(data: bytes, h: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first run, hash of bytes) of each piece: a run starts one if its q-gram says so, half of them do: a passage of m runs then takes about m/2 + 2 rows, the least near m = 8."""
-    start = np.flatnonzero(np.append(True, (h[1:].view(np.uint64) * _B) >> np.uint64(63) == 0)) if len(h) else np.empty(0, np.int64)
-    last = np.append(start[1:], len(h)) - 1
-    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-    ends = (first[last].astype(np.int64) + windows[last] + length - 1).tolist() if len(h) else []
-    return start, np.array([digest(view[x:y]) for x, y in zip(first[start].tolist(), ends, strict=True)], np.uint64).view(np.int64)
+def alike(h: np.ndarray, r: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of a text's runs by hashes, where each group of equal ones starts in it)."""
+    order = np.lexsort((first, r, h))
+    new = (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])
+    return order, np.flatnonzero(np.append(True, new)) if len(h) else np.empty(0, np.int64)
 
 
 def _runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
@@ -236,52 +233,39 @@ def _counted(slices: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(k1, k2, a, b): windows a to b of each document (k1, k2, text) that also start elsewhere."""
+    """(k1, k2, firsts, windows): so many windows from each of these on, of each document (k1, k2, text), also start elsewhere."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out, k1, k2, first_run, at = [], [], [], [], 0
+            out, starts, at = [], [], 0
             for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = text.as_py().encode("utf-8", "replace")
-                h, r, first, windows = runs(data, length)
-                start, digest = pieces(data, h, first, windows, length)
-                out.append((h, r, first, windows, digest))
-                first_run.append(start + at)
+                h, r, first, windows = runs(text.as_py().encode("utf-8", "replace"), length)
+                order, start = alike(h, r, first)
+                one = order[start]
+                out.append((np.full(len(start), a), np.full(len(start), b), h[one], r[one], windows[one], first[order]))
+                starts.append(start + at)
                 at += len(h)
-                k1.append(np.full(len(start), a))
-                k2.append(np.full(len(start), b))
-            h, r, first, windows, digest = (np.concatenate(x) for x in zip(*out, strict=True))
-            start = np.concatenate(first_run).astype(np.int32)
-            own = pa.StructArray.from_arrays([pa.array(h), pa.array(r), pa.array(first), pa.array(windows)], names=["h", "r", "first", "windows"])
-            cols = [np.concatenate(k1).astype(np.int64), np.concatenate(k2).astype(np.int64), h[start], digest, first[start], (np.add.reduceat(windows, start) if len(start) else first).astype(np.int32)]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, at).astype(np.int32)), own)
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=["k1", "k2", "ph", "pr", "first", "windows", "runs"])
+            *cols, firsts = (np.concatenate(x) for x in zip(*out, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(np.concatenate(starts), at).astype(np.int32)), pa.array(firsts))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), *map(pa.array, cols[2:]), lists], names=["k1", "k2", "h", "r", "windows", "firsts"])
 
         return fn
 
     long_enough = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
-    found = stash(map_arrow(long_enough, make, "k1 long, k2 long, ph long, pr long, first int, windows int, runs array<struct<h:long,r:long,first:int,windows:int>>"), "suffix-pieces")
+    rows = stash(map_arrow(long_enough, make, "k1 long, k2 long, h long, r long, windows int, firsts array<int>"), "suffix-runs")
     # what is counted is kept as a table before it is joined: both sides then are plain shuffles, which Spark splits where a group is large
-    alike = stash(found.groupBy("ph", "pr").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")), "suffix-alike")
-    # one of equal pieces goes on with its runs, which count as often as the piece
-    stands = F.col("one") == F.struct("k1", "k2", "first")
-    joined = found.join(alike, ["ph", "pr"]).select("k1", "k2", "first", "windows", "n", F.when(stands, F.col("runs")).alias("runs"))
-    known = stash(joined.where("n > 1 OR runs IS NOT NULL"), "suffix-known")
-    drop_stash(found)
-    drop_stash(alike)
-    rows = stash(known.where("runs IS NOT NULL").select("k1", "k2", "n", F.inline("runs")), "suffix-runs")
-    copies = known.where("n > 1").select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
-    kinds = stash(rows.groupBy("h", "r").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "first", "windows")).alias("one")), "suffix-kinds")
-    whole = rows.where("n = 1").join(kinds.where("n > 1").select("h", "r"), ["h", "r"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
-    whole = copies.unionByName(whole)
+    place = F.struct("k1", "k2", F.col("firsts")[0].alias("first"), "windows")
+    kinds = stash(rows.groupBy("h", "r").agg(F.sum(F.size("firsts")).alias("n"), F.min(place).alias("one")), "suffix-kinds")
+    whole = rows.join(kinds.where("n > 1").select("h", "r"), ["h", "r"]).select("k1", "k2", "firsts", "windows")
     buckets = stash(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1"), "suffix-buckets")
     wanted = kinds.join(buckets, "h").select("one.*", "h", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
     slices = _slices(wanted, keyed, length)
+    listed = lambda df: df.select("k1", "k2", F.array("a").alias("firsts"), (F.col("b") - F.col("a") + 1).alias("windows"))
     if buckets.where(F.col("kinds") > hot).isEmpty():
-        return whole.unionByName(_refine(slices.repartition("h").sortWithinPartitions("h"), length))
+        return whole.unionByName(listed(_refine(slices.repartition("h").sortWithinPartitions("h"), length)))
     slices = stash(slices, "suffix-slices")
     cold = _refine(slices.where("NOT hot").repartition("h").sortWithinPartitions("h"), length)
-    return whole.unionByName(cold).unionByName(_counted(slices.where("hot"), length))
+    return whole.unionByName(listed(cold)).unionByName(listed(_counted(slices.where("hot"), length)))
 
 
 OUTPUTS = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType(), "kept_text": T.StringType()}
@@ -295,7 +279,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     key = [F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(docs[text]).alias("k2")]
     keyed = docs.select(*key, docs[text].alias("text"))
     windows = repeated_windows(keyed, length, hot)
-    spans = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("firsts", "windows")).alias("spans"))
     full = docs.select(*key, docs[text].alias("__text"), F.struct(*[docs[c] for c in others]).alias("__rest") if others else F.lit(0).alias("__rest"))
     joined = full.join(spans, ["k1", "k2"], "left").select("__rest", "__text", "spans")
 
@@ -308,8 +292,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
                 kept, removed, n_spans = data, 0, 0
                 if mine is not None:
                     depth = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(depth, mine[0].to_numpy(), 1)
-                    np.add.at(depth, mine[1].to_numpy() + length, -1)
+                    begin, windows = mine[0].flatten().to_numpy(), np.repeat(mine[1].to_numpy(), mine[0].value_lengths().to_numpy())
+                    np.add.at(depth, begin, 1)
+                    np.add.at(depth, begin + windows - 1 + length, -1)
                     gone = np.cumsum(depth[:-1]) > 0
                     removed = int(gone.sum())
                     n_spans = int((gone & ~np.append(False, gone[:-1])).sum())
