@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from strataquery.llm.common import map_arrow, release, stash, trim
 
-LENGTH, HOT, CHUNK = 400, 1024, 500_000
+LENGTH, HOT, CHUNK = 400, 2048, 500_000
 #: Low bits of a minimizer's key that hold its position, and the most bytes handled at a time.
 POS_BITS, PIECE = 24, 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
