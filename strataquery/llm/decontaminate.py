@@ -2,7 +2,8 @@
 
 1. Benchmark items are cut into passages of at most ``WINDOW`` words. Words are weighted
    by their inverse document frequency over the whole corpus (counted in one pass, for the
-   benchmark's words; a word beyond them weighs most; one in over a fifth of all documents nothing).
+   benchmark's words; a word beyond them weighs most). The weight is smoothed and never nothing, so
+   an item that has leaked into most documents is still found by its own words.
 2. A randomised SVD of the passages' TF-IDF matrix gives the latent space: random
    directions are put through A'A a few times, each product summed over the benchmark's partitions.
 3. Every document is cut into overlapping windows of ``WINDOW`` words, which are projected into the
@@ -37,7 +38,7 @@ from strataquery.llm.common import map_arrow, stash
 from strataquery.llm.toxicity import words_of
 
 BLOCK, WINDOW, RANK, POWER, ITEMS = 16, 48, 256, 2, 2000
-SURE, LIKELY, COSINE, COMMON = 0.75, 0.55, 0.5, 0.2
+SURE, LIKELY, COSINE = 0.75, 0.55, 0.5
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -191,8 +192,7 @@ def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
     if not cut:
         return Index({}, np.ones(1), np.zeros((0, 1)), np.zeros((0, 1)), np.ones(0), np.zeros(0, int), [])
     total, df = frequencies(docs, text, vocab)
-    most = np.log((total + 2) / 1)
-    weight = np.append(np.where(df > COMMON * max(total, 5), 0.0, np.log((total + 2) / (df + 1))), most)
+    weight = np.log1p(max(total, 1) / (np.append(df, 0) + 1))
     rows = []
     for _, p in cut:
         w, tf = np.unique([vocab[x] for x in p], return_counts=True)
@@ -203,8 +203,8 @@ def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
     points = np.array([np.array(x) @ basis[w] for w, x in rows])
     norm = np.linalg.norm(points, axis=1)
     size = np.minimum([len(p) for _, p in cut], WINDOW) / WINDOW
-    bound = np.where(norm > 0, COSINE * np.sqrt(size), 2.0)
-    points = points / np.where(norm > 0, norm, 1)[:, None]
+    bound = COSINE * np.sqrt(size)
+    points = points / norm[:, None]
     return Index(vocab, weight, basis.astype(np.float32), points.astype(np.float32), bound, np.array([i for i, _ in cut]), own)
 
 

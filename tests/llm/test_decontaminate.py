@@ -69,6 +69,20 @@ def test_paraphrases(spark):
     assert {r.doc_id for r in in_blocks if r.contaminated} == found
 
 
+def test_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    items = [[word() for _ in range(36)] for _ in range(5)]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(rng.randint(60, 200))]
+        text[30:30] = items[0] if i % 3 == 0 else []
+        docs.append((i, " ".join(text)))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    rows = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in rows if r.contaminated} == {i for i in range(60) if i % 3 == 0}
+
+
 def test_edges(spark, messy, empty):
     bench = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, "don't we'll I'm 123 4567", "x"), (2, "one two", "x"), (3, "!!", "x")], "item_id long, text string, contaminated string")
     out = D.contamination(messy, bench)
