@@ -2,14 +2,14 @@
 
 1. Benchmark items are cut into passages of at most ``WINDOW`` words. Words are weighted
    by their inverse document frequency over the whole corpus (counted in one pass, for the
-   benchmark's words; a word beyond them weighs most). The weight is smoothed and never nothing, so
+   benchmark's words; others don't count). The weight is smoothed and never nothing, so
    an item that has leaked into most documents is still found by its own words.
 2. A randomised SVD of the passages' TF-IDF matrix gives the latent space: random
    directions are put through A'A a few times, each product summed over the benchmark's partitions.
 3. Every document is cut into overlapping windows of ``WINDOW`` words, which are projected into the
-   space. A window is a candidate of a passage if the cosine passes a share of what a window
-   that holds the passage would have. Windows with too little of the benchmark's
-   weight to pass any passage's bound aren't projected.
+   space. A window is a candidate of a passage if its product with the passage is at least
+   ``COVER`` of the passage's with itself, whatever other words it holds, so the size of the corpus
+   doesn't matter. Windows whose words can't add up to that for any passage aren't projected.
 4. A candidate is checked in the words: the longest common subsequence of the whole item and the
    stretch around the window must hold ``sure`` of the item's words, or ``likely`` of them with
    half of the answer's. The answer is the item's ``answer`` column if it has one, else
@@ -38,7 +38,7 @@ from strataquery.llm.common import map_arrow, stash
 from strataquery.llm.toxicity import words_of
 
 BLOCK, WINDOW, RANK, POWER, ITEMS = 16, 48, 256, 2, 2000
-SURE, LIKELY, COSINE = 0.75, 0.55, 0.5
+SURE, LIKELY, COVER, PARTS = 0.75, 0.55, 0.35, 16
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -67,10 +67,10 @@ class Index:
     """Benchmark block: words, their weights and directions, passages in the space, items."""
 
     vocab: dict[bytes, int]
-    weight: np.ndarray  # of each word; the last entry is for words beyond the vocabulary
-    basis: np.ndarray  # word -> latent space
+    most: np.ndarray  # for each word and part of the passages, the most it adds to the cover of one; the last row is for other words
+    basis: np.ndarray  # word -> latent space, weighted
     points: np.ndarray  # passages in the space, each over its length there
-    bound: np.ndarray  # cosine from which a window is a candidate
+    length: np.ndarray  # of the passages in the space
     item_of: np.ndarray
     items: list[tuple[int | None, list[bytes], list[bytes]]]
 
@@ -81,23 +81,21 @@ class Index:
         if not n or not len(self.points):
             return False, None, 0.0, 0.0
         ids = np.fromiter(map(self.vocab.get, words, repeat(none)), np.int64, n)
-        square = self.weight[ids] ** 2
-        blocks = np.arange(0, n, BLOCK)
-        of_all = np.add.reduceat(square, blocks)
-        of_ours = np.add.reduceat(np.where(ids < none, square, 0.0), blocks)
-        width = WINDOW // BLOCK
-        spread = lambda x: np.convolve(x, np.ones(width))[width - 1 :]  # noqa: E731  sums of the blocks from each one on
-        whole, ours = spread(of_all), spread(of_ours)
-        likely = np.flatnonzero((ours > 0) & (ours >= (0.7 * self.bound.min()) ** 2 * whole))
+        held = np.add.reduceat(self.most[ids], np.arange(0, n, BLOCK))
+        whole = held.copy()
+        for k in range(1, WINDOW // BLOCK):
+            whole[:-k] += held[k:]
+        likely = np.flatnonzero(whole.max(axis=1) >= 0.999 * COVER)
         best = (False, None, 0.0, 0.0)
         tried: dict[int, list[tuple[int, int]]] = {}
         for b in likely.tolist():
             lo, hi = b * BLOCK, min(n, b * BLOCK + WINDOW)
             own = ids[lo:hi]
             own = own[own < none]
-            point = (self.basis[own] * self.weight[own, None]).sum(axis=0)
-            cosine = self.points @ point / np.sqrt(whole[b])
-            for p in np.flatnonzero(cosine >= self.bound):
+            point = self.basis[own].sum(axis=0)
+            along = self.points @ point
+            cosine = along / max(np.linalg.norm(point), 1e-9)
+            for p in np.flatnonzero(along >= COVER * self.length):
                 i = int(self.item_of[p])
                 item_id, item, answer = self.items[i]
                 lo_i, hi_i = max(0, lo - len(item)), min(n, hi + len(item))
@@ -190,22 +188,25 @@ def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
         for w in p:
             vocab.setdefault(w, len(vocab))
     if not cut:
-        return Index({}, np.ones(1), np.zeros((0, 1)), np.zeros((0, 1)), np.ones(0), np.zeros(0, int), [])
+        return Index({}, np.ones(1), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0, int), [])
     total, df = frequencies(docs, text, vocab)
-    weight = np.log1p(max(total, 1) / (np.append(df, 0) + 1))
+    weight = np.log1p(max(total, 1) / (df + 1))
+    parts = min(len(cut), max(PARTS, -(-len(cut) // PARTS)), 4 * PARTS)
+    most = np.zeros((len(vocab) + 1, parts), np.float32)
     rows = []
-    for _, p in cut:
+    for k, (_, p) in enumerate(cut):
         w, tf = np.unique([vocab[x] for x in p], return_counts=True)
-        rows.append((w.tolist(), (tf * weight[w]).tolist()))
+        x = tf * weight[w]
+        most[w, k % parts] = np.maximum(most[w, k % parts], x * weight[w] / (x @ x))
+        rows.append((w.tolist(), x.tolist()))
     spark = docs.sparkSession
     table = spark.createDataFrame(rows, "w array<int>, x array<double>").repartition(max(1, -(-len(rows) // 2000)))
     basis = latent_space(table, len(vocab), rank=min(RANK, len(rows)))
     points = np.array([np.array(x) @ basis[w] for w, x in rows])
-    norm = np.linalg.norm(points, axis=1)
-    size = np.minimum([len(p) for _, p in cut], WINDOW) / WINDOW
-    bound = COSINE * np.sqrt(size)
-    points = points / norm[:, None]
-    return Index(vocab, weight, basis.astype(np.float32), points.astype(np.float32), bound, np.array([i for i, _ in cut]), own)
+    length = np.linalg.norm(points, axis=1)
+    points = points / length[:, None]
+    basis = basis * weight[:, None]
+    return Index(vocab, most, basis.astype(np.float32), points.astype(np.float32), length, np.array([i for i, _ in cut]), own)
 
 
 ADDED = (("contaminated", T.BooleanType(), pa.bool_()), ("item_id", T.LongType(), pa.int64()), ("item_share", T.DoubleType(), pa.float64()), ("cosine", T.DoubleType(), pa.float64()))

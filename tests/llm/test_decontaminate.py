@@ -83,6 +83,28 @@ def test_an_item_in_a_third_of_the_documents(spark):
     assert {r.doc_id for r in rows if r.contaminated} == {i for i in range(60) if i % 3 == 0}
 
 
+def test_recall_does_not_fall_with_the_size_of_the_corpus(spark, monkeypatch):
+    rng = random.Random(6)
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    items = [type("Item", (), {"id": r.item_id, "text": r.text}) for r in bench]
+    others = [w for r in docs.limit(400).collect() for w in (r.text or "").split()]
+    planted = []
+    for r in bench:
+        leak = r.text.split()
+        for _ in range(len(leak) // 4):
+            leak[rng.randrange(len(leak))] = rng.choice(others)
+        at = rng.randrange(len(others) - 200)
+        planted.append(" ".join(others[at : at + 70] + leak + others[at + 70 : at + 140]))
+    count = D.frequencies
+    recall = {}
+    for times in (1, 1000):
+        monkeypatch.setattr(D, "frequencies", lambda *a, n=times: tuple(x * n for x in count(*a)))
+        index = D.build(items, False, docs, "text")
+        recall[times] = sum(index.search(x)[0] for x in planted) / len(planted)
+    print("recall of planted items", recall)
+    assert min(recall.values()) >= 0.97 and abs(recall[1] - recall[1000]) <= 0.02
+
+
 def test_edges(spark, messy, empty):
     bench = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, "don't we'll I'm 123 4567", "x"), (2, "one two", "x"), (3, "!!", "x")], "item_id long, text string, contaminated string")
     out = D.contamination(messy, bench)
