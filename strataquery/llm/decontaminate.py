@@ -6,6 +6,8 @@
    an item that has leaked into most documents is still found by its own words.
 2. A randomised SVD of the passages' TF-IDF matrix gives the latent space: random
    directions are put through A'A a few times, each product summed over the benchmark's partitions.
+   Each ``RANK`` passages of a block have a space of their own, so that none is cut short in it
+   and a leak is found whatever the number of items.
 3. Every document is cut into overlapping windows of ``WINDOW`` words, which are projected into the
    space. A window is a candidate of a passage if its product with the passage is at least
    ``COVER`` of the passage's with itself, whatever other words it holds, so the size of the corpus
@@ -26,11 +28,11 @@ pass through; an empty corpus gives an empty result, an empty benchmark clean do
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import chain, islice, repeat
+from itertools import chain, islice, product, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,22 +65,30 @@ def passages(words: list[bytes]) -> list[list[bytes]]:
 
 
 @dataclass
-class Index:
-    """Benchmark block: words, their weights and directions, passages in the space, items."""
+class Space:
+    """Latent space of at most RANK passages."""
 
-    vocab: dict[bytes, int]
-    most: np.ndarray  # for each word and part of the passages, the most it adds to the cover of one; the last row is for other words
+    row: np.ndarray  # of each word in the basis; words of no passage here have the last one, which is zero
     basis: np.ndarray  # word -> latent space, weighted
     points: np.ndarray  # passages in the space, each over its length there
     length: np.ndarray  # of the passages in the space
     item_of: np.ndarray
+
+
+@dataclass
+class Index:
+    """Benchmark block: words, bounds of what they add, spaces of the passages, items."""
+
+    vocab: dict[bytes, int]
+    most: np.ndarray  # for each word and part of the passages, the most it adds to the cover of one; the last row is for other words
+    spaces: list[Space]
     items: list[tuple[int | None, list[bytes], list[bytes]]]
 
     def search(self, text: str | None) -> tuple[bool, int | None, float, float]:
         """(contaminated, best item's id, share of its words in order, cosine)."""
         words = words_of(text).split()
         n, none = len(words), len(self.vocab)
-        if not n or not len(self.points):
+        if not n or not self.spaces:
             return False, None, 0.0, 0.0
         ids = np.fromiter(map(self.vocab.get, words, repeat(none)), np.int64, n)
         held = np.add.reduceat(self.most[ids], np.arange(0, n, BLOCK))
@@ -88,15 +98,14 @@ class Index:
         likely = np.flatnonzero(whole.max(axis=1) >= 0.999 * COVER)
         best = (False, None, 0.0, 0.0)
         tried: dict[int, list[tuple[int, int]]] = {}
-        for b in likely.tolist():
+        for b, space in product(likely.tolist(), self.spaces):
             lo, hi = b * BLOCK, min(n, b * BLOCK + WINDOW)
             own = ids[lo:hi]
-            own = own[own < none]
-            point = self.basis[own].sum(axis=0)
-            along = self.points @ point
+            point = space.basis[space.row[own[own < none]]].sum(axis=0)
+            along = space.points @ point
             cosine = along / max(np.linalg.norm(point), 1e-9)
-            for p in np.flatnonzero(along >= COVER * self.length):
-                i = int(self.item_of[p])
+            for p in np.flatnonzero(along >= COVER * space.length):
+                i = int(space.item_of[p])
                 item_id, item, answer = self.items[i]
                 lo_i, hi_i = max(0, lo - len(item)), min(n, hi + len(item))
                 if any(x <= lo and hi <= y for x, y in tried.get(i, ())):
@@ -149,7 +158,7 @@ def latent_space(rows: DataFrame, width: int, rank: int = RANK, power: int = POW
     """
     spark = rows.sparkSession
 
-    def product(q: np.ndarray, gram: bool) -> np.ndarray:
+    def times(q: np.ndarray, gram: bool) -> np.ndarray:
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches):
@@ -169,11 +178,24 @@ def latent_space(rows: DataFrame, width: int, rank: int = RANK, power: int = POW
 
     q = np.random.default_rng(seed).normal(size=(width, min(width, rank)))
     for _ in range(power):
-        q = np.linalg.qr(product(q, False))[0]
-    _, u = np.linalg.eigh(product(q, True))
+        q = np.linalg.qr(times(q, False))[0]
+    _, u = np.linalg.eigh(times(q, True))
     return q @ u[:, ::-1]
 
 
+def _space(spark: SparkSession, rows: list[tuple[list[int], list[float]]], weight: np.ndarray, item_of: np.ndarray) -> Space:
+    """The space of some passages (words, weighted counts). They are put to length one first, which spans the same space."""
+    used = np.unique(np.concatenate([w for w, _ in rows]))
+    row = np.full(len(weight), len(used), np.int32)
+    row[used] = np.arange(len(used))
+    table = spark.createDataFrame([(row[w].tolist(), (np.array(x) / np.linalg.norm(x)).tolist()) for w, x in rows], "w array<int>, x array<double>")
+    basis = latent_space(table.repartition(1), len(used), rank=len(rows))
+    points = np.array([np.array(x) @ basis[row[w]] for w, x in rows])
+    length = np.linalg.norm(points, axis=1)
+    basis = np.append(basis * weight[used, None], np.zeros((1, basis.shape[1])), axis=0)
+    return Space(row, basis.astype(np.float32), (points / length[:, None]).astype(np.float32), length, item_of)
+
+
 def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
     """The index of one block of items (rows id, text, and answer if ``answers``)."""
     own = []
@@ -188,7 +210,7 @@ def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
         for w in p:
             vocab.setdefault(w, len(vocab))
     if not cut:
-        return Index({}, np.ones(1), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0, int), [])
+        return Index({}, np.zeros((1, 1)), [], [])
     total, df = frequencies(docs, text, vocab)
     weight = np.log1p(max(total, 1) / (df + 1))
     parts = min(len(cut), max(PARTS, -(-len(cut) // PARTS)), 4 * PARTS)
@@ -199,14 +221,9 @@ def build(items: list, answers: bool, docs: DataFrame, text: str) -> Index:
         x = tf * weight[w]
         most[w, k % parts] = np.maximum(most[w, k % parts], x * weight[w] / (x @ x))
         rows.append((w.tolist(), x.tolist()))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rows, "w array<int>, x array<double>").repartition(max(1, -(-len(rows) // 2000)))
-    basis = latent_space(table, len(vocab), rank=min(RANK, len(rows)))
-    points = np.array([np.array(x) @ basis[w] for w, x in rows])
-    length = np.linalg.norm(points, axis=1)
-    points = points / length[:, None]
-    basis = basis * weight[:, None]
-    return Index(vocab, most, basis.astype(np.float32), points.astype(np.float32), length, np.array([i for i, _ in cut]), own)
+    item_of = np.array([i for i, _ in cut])
+    spaces = [_space(docs.sparkSession, rows[k : k + RANK], weight, item_of[k : k + RANK]) for k in range(0, len(rows), RANK)]
+    return Index(vocab, most, spaces, own)
 
 
 ADDED = (("contaminated", T.BooleanType(), pa.bool_()), ("item_id", T.LongType(), pa.int64()), ("item_share", T.DoubleType(), pa.float64()), ("cosine", T.DoubleType(), pa.float64()))

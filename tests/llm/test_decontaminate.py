@@ -105,6 +105,22 @@ def test_recall_does_not_fall_with_the_size_of_the_corpus(spark, monkeypatch):
     assert min(recall.values()) >= 0.97 and abs(recall[1] - recall[1000]) <= 0.02
 
 
+def test_more_items_than_directions(spark):
+    rng = np.random.default_rng(8)
+    odds = 1 / (np.arange(20_000) + 20)
+    draw = lambda n: [f"w{x}" for x in rng.choice(20_000, n, p=odds / odds.sum())]
+    texts = [x.tolist() for x in np.array(draw(48 * 2100)).reshape(2100, 48)]
+    items = [type("Item", (), {"id": i, "text": " ".join(x)}) for i, x in enumerate(texts[: D.ITEMS])]
+    docs = spark.createDataFrame([(i, " ".join(draw(200))) for i in range(300)], "doc_id long, text string")
+    index = D.build(items, False, docs, "text")
+    lost = [i for i, x in enumerate(texts[: D.ITEMS]) if not index.search(" ".join(draw(20) + x + draw(20)))[0]]
+    print("verbatim items lost", len(lost), "of", D.ITEMS)
+    assert not lost
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "item_id long, text string")
+    leaks = spark.createDataFrame([(i, " ".join(draw(20) + texts[i] + draw(20))) for i in range(0, 2100, 30)], "doc_id long, text string")
+    assert all(r.contaminated for r in D.contamination(leaks, bench).collect())
+
+
 def test_edges(spark, messy, empty):
     bench = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, "don't we'll I'm 123 4567", "x"), (2, "one two", "x"), (3, "!!", "x")], "item_id long, text string, contaminated string")
     out = D.contamination(messy, bench)
