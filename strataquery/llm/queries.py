@@ -25,7 +25,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"], outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"], outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,23 @@ Every byte goes that lies in a string of ``length`` bytes which also starts anyw
 
 1. Buckets. Each window of ``length`` bytes is filed under its minimizer: the q-gram with
    the least hash, the leftmost of equals. Windows of a document with the same minimizer are
-   neighbours and make a run. Equal windows have equal minimizers, so runs are grouped by their
-   q-gram (the initial bucket) and, within it, by the hash of their bytes. Runs that are alike
-   are repeated as a whole; they need no more work, however many there are. Equal runs of one
-   document are one row with its places.
+   neighbours and make a run, with the q-gram at the same place in each. Equal windows have equal
+   minimizers, so runs are grouped by their q-gram (the initial bucket) and, within it, by the hash of
+   their bytes. Runs that are alike are repeated as a whole, however many there are; that is found
+   by counting (64-bit hash of the q-gram, 64-bit hash of the run), without refinement. Equal runs of
+   one document are one row with its places.
 2. Refinement. A bucket with different runs, one of them alone, needs its bytes: one run of each
    kind goes to the bucket's task. There, positions start in buckets of 8-grams, which
    are refined by sorting on the pair of bucket numbers at the position and at a later offset,
    8 to 16 to 32 bytes and so on up to ``length``: each round reuses the numbers of the
    last, and positions alone in their bucket drop out at once. Exact, without hashing.
-3. A bucket with over ``hot`` kinds of run isn't put in one task: its windows' 128-bit hashes are
-   counted in rows of their own.
+3. A bucket with over ``hot`` kinds of run is split before it goes to tasks. All its windows hold the
+   same fixed stretch (at first the q-gram) at the same place, and at least half of the window's other
+   bytes lie to one side of it: windows with that half to the right are filed under the stretch lengthened
+   by that half to the right, the others likewise to the left. So each run gives at most two pieces, each
+   window is in one of them, and equal windows stay together. Pieces that are alike are counted as runs
+   are; those of smaller buckets are refined as in 2, and larger ones are split again. The bytes that aren't
+   fixed halve each time, so this ends after nine rounds at the latest, with pieces of one window.
 
 Only light rows are grouped; a group of copies is one row after partial aggregation. Texts
 are shuffled by document to cut out runs, and to remove what is repeated.
@@ -28,6 +34,7 @@ UTF-8 characters are left out of the kept text, never of the kept bytes.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +60,7 @@ def gram(length: int) -> int:
 
 
 def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(hash of q-gram, hash of bytes, first window, windows) of each run of a text."""
+    """(hash of q-gram, hash of bytes, first window, windows, place of the q-gram) of each run of a text."""
     parts = [_runs(data[i : i + PIECE + length - 1], length, i) for i in range(0, max(1, len(data) - length + 1), PIECE)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -68,7 +75,7 @@ def alike(h: np.ndarray, r: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 def _runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32))
     q = gram(length)
     g = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _A
     k = 1
@@ -94,7 +101,7 @@ def _runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     view = memoryview(data)
     own = np.array([digest(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist(), strict=True)], np.uint64)
     at = pos[first]
-    return g[at].view(np.int64), own.view(np.int64), (first + shift).astype(np.int32), count.astype(np.int32)
+    return g[at].view(np.int64), own.view(np.int64), (first + shift).astype(np.int32), count.astype(np.int32), (at + shift).astype(np.int32)
 
 
 def repeated(data: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
@@ -213,23 +220,64 @@ def _refine(slices: DataFrame, length: int) -> DataFrame:
     return slices.drop("hot").mapInArrow(run, "k1 long, k2 long, a int, b int")
 
 
-def _counted(slices: DataFrame, length: int) -> DataFrame:
-    """The same for hot buckets, by counting the 128-bit hashes of windows."""
+_PIECE = "h long, k1 long, k2 long, first int, alone boolean, lo int, hi int, r long, bytes binary"
+_PIECE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+
+def halves(data: bytes, lo: int, hi: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(first window, last window, fixed from, fixed to) of the pieces of a run whose windows all hold data[lo:hi]; see note 3."""
+    last, rest = len(data) - length, length - (hi - lo)
+    right = -(-rest // 2)
+    left = rest - right + 1
+    pieces = [(max(0, hi + right - length), min(last, lo), lo, hi + right), (max(0, hi - length), min(last, lo - left), lo - left, hi)]
+    return [p for p in pieces if p[0] <= p[1]]
+
+
+def _split(slices: DataFrame, length: int) -> DataFrame:
+    """Pieces (_PIECE) of the slices of large buckets: h is their new bucket, r the hash of their bytes, lo and hi their fixed stretch."""
 
     def run(batches):
-        digest = xxhash.xxh3_128_digest
+        release()
         for b in batches:
-            for _, k1, k2, first, alone, _, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(data) - length + 1
-                raw = np.frombuffer(b"".join(digest(data[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(np.full(n, alone))],
-                    names=["w1", "w2", "k1", "k2", "a", "alone"],
-                )
-
-    rows = stash(slices.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, a int, alone boolean"), "suffix-windows")
-    twice = stash(rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), "suffix-twice")
-    return rows.where("alone").join(twice, ["w1", "w2"]).select("k1", "k2", "a", F.col("a").alias("b"))
+            out: list[list] = [[] for _ in _PIECE_TYPES]
+            size = 0
+            for h, k1, k2, first, alone, lo, hi, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if hi < 0:
+                    at = int(_runs(data, length, 0)[4][0])
+                    lo, hi = at, at + gram(length)
+                for a, z, f, t in halves(data, lo, hi, length):
+                    piece = data[a : z + length]
+                    key = xxhash.xxh3_64_intdigest(struct.pack("<qi", h, lo - f) + data[f:t])
+                    row = (key - (1 << 63), k1, k2, first + a, alone, f - a, t - a, xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece)
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+                    size += len(piece)
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE_TYPES, strict=True)], names=[x.split()[0] for x in _PIECE.split(", ")])
+                    out, size = [[] for _ in _PIECE_TYPES], 0
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE_TYPES, strict=True)], names=[x.split()[0] for x in _PIECE.split(", ")])
+
+    return slices.mapInArrow(run, _PIECE)
+
+
+def _divided(slices: DataFrame, length: int, hot: int) -> list[DataFrame]:
+    """(k1, k2, a, b) as of :func:`_refine` for the slices of large buckets, which are split until they are small."""
+    found, slices = [], slices.select("h", "k1", "k2", "first", "alone", F.lit(0).alias("lo"), F.lit(-1).alias("hi"), "bytes")
+    while True:
+        pieces = stash(_split(slices, length), "suffix-pieces")
+        # a slice that isn't alone stands for several runs
+        weight = F.when(F.col("alone"), 1).otherwise(2)
+        kinds = stash(pieces.groupBy("h", "r").agg(F.sum(weight).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")), "suffix-piece-kinds")
+        place = lambda: (F.col("first").alias("a"), (F.col("first") + F.octet_length("bytes") - length).alias("b"))
+        found.append(pieces.where("alone").join(kinds.where("n > 1").select("h", "r"), ["h", "r"]).select("k1", "k2", *place()))
+        buckets = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
+        wanted = kinds.join(buckets, "h").select("h", "r", "one.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
+        slices = stash(pieces.drop("alone").join(wanted, ["h", "r", "k1", "k2", "first"]).select("h", "k1", "k2", "first", F.col("single").alias("alone"), "lo", "hi", "bytes", "hot"), "suffix-piece-slices")
+        found.append(_refine(slices.where("NOT hot").select("h", "k1", "k2", "first", "alone", "hot", "bytes").repartition("h").sortWithinPartitions("h"), length))
+        if slices.where("hot").isEmpty():
+            return found
+        slices = slices.where("hot").drop("hot")
 
 
 def repeated_windows(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -239,7 +287,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) ->
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out, starts, at = [], [], 0
             for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h, r, first, windows = runs(text.as_py().encode("utf-8", "replace"), length)
+                h, r, first, windows, _ = runs(text.as_py().encode("utf-8", "replace"), length)
                 order, start = alike(h, r, first)
                 one = order[start]
                 out.append((np.full(len(start), a), np.full(len(start), b), h[one], r[one], windows[one], first[order]))
@@ -264,8 +312,10 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     if buckets.where(F.col("kinds") > hot).isEmpty():
         return whole.unionByName(listed(_refine(slices.repartition("h").sortWithinPartitions("h"), length)))
     slices = stash(slices, "suffix-slices")
-    cold = _refine(slices.where("NOT hot").repartition("h").sortWithinPartitions("h"), length)
-    return whole.unionByName(listed(cold)).unionByName(listed(_counted(slices.where("hot"), length)))
+    out = whole.unionByName(listed(_refine(slices.where("NOT hot").repartition("h").sortWithinPartitions("h"), length)))
+    for part in _divided(slices.where("hot"), length, hot):
+        out = out.unionByName(listed(part))
+    return out
 
 
 OUTPUTS = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType(), "kept_text": T.StringType()}

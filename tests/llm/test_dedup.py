@@ -48,10 +48,38 @@ def test_passages_edits_and_periods(spark, hot):
         texts[i] += passage[cut : cut + rng.randint(10, 90)] + texts[i + 1][:30]
     texts += ["ab" * 70, "z" * 150, "z" * 149, texts[3], texts[3][:50] + "!" + texts[3][50:], "é" * 60, "xé" * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for length in (16, 33, 64):
+    for length in (16, 33, 64) if hot > 1 else (33,):
         check_dedup(df, length, hot)
 
 
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(6)
+    alphabet = "abcdefghijklmnop  "
+    base = "".join(rng.choice(alphabet) for _ in range(700))
+    texts = [base, base]
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            t[rng.randrange(len(t))] = rng.choice("XYZ")
+        texts.append("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) + "".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_dedup(df, 64, 5)
+
+
+def test_halves_share_out_all_windows():
+    rng = random.Random(3)
+    for _ in range(300):
+        length = rng.randint(8, 60)
+        lo = rng.randint(0, length - 4)
+        hi = lo + rng.randint(1, length - lo)
+        n = rng.randint(max(length, hi), lo + length)
+        windows = [s for s in range(n - length + 1) if s <= lo and hi <= s + length]
+        pieces = suffix_dedup.halves(bytes(n), lo, hi, length)
+        assert sorted(s for a, z, _, _ in pieces for s in range(a, z + 1)) == windows
+        assert all(s <= f and t <= s + length for a, z, f, t in pieces for s in range(a, z + 1))
+        assert all(t - f > hi - lo for _, _, f, t in pieces) or hi - lo == length
+
+
 def test_dedup_columns_and_empty(messy, empty):
     assert suffix_dedup.dedup(empty).count() == 0
     out = suffix_dedup.dedup(messy, outputs=("n_removed", "kept", "kept_text"))
