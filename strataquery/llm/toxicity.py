@@ -1,18 +1,20 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams (its edges count as characters). The n-grams' embeddings are
-averaged and put through a linear softmax; embeddings and softmax are trained jointly, in
-numpy, so a misspelling that was never seen is scored by the n-grams it shares. A document
-counts as its worst word: labels mark documents, so each training round takes every toxic
-document's worst word so far for a toxic one, and the worst words of clean documents, and
-some of their others, for clean ones. The score is calibrated by a logistic fit over the
-training documents' worst words.
+A text is cut into phrases of ``PHRASE`` words. A phrase is the bag of its words' character n-grams (a word's edges
+count as characters), whose embeddings are averaged and put through a linear softmax, so a misspelling that was
+never seen is scored by the n-grams it shares. A document's logit gathers those of its phrases (the logarithm of the sum of their
+exponentials), so that one toxic phrase is enough in a long text and several count for more.
+
+Embeddings and softmax are trained jointly, in numpy, on documents' labels alone. At first random
+phrases of a document stand for it, so that n-grams which are commoner in toxic documents
+stand out; then its highest phrases do, weighted by their share of the sum, as the gradient has it.
+A logistic fit over training documents that the embeddings weren't learned from turns logits into scores.
 
 Training takes at most ``per_class`` documents of either label (those with the least hash of
 their id), however large the input; scoring reads every whole text once and shuffles nothing.
 
-Defined results: a null or empty text, or one without words, has the score of the calibration's
-floor; without both labels to learn from, every score is the share of toxic ones (0 with no
+Defined results: a null or empty text, or one without words, has the score of the lowest training logit;
+without both labels to learn from, every score is the share of toxic ones (0 with no
 labels at all); of several labels of a document the highest counts; repeated rows each get a row; extra columns pass through; an
 empty table gives an empty one.
 """
@@ -30,7 +32,11 @@ from pyspark.sql import types as T
 from strataquery.llm.common import held_out, map_arrow
 
 PER_CLASS, THRESHOLD = 4000, 0.7
-BUCKETS, DIM, GRAMS, ROUNDS = 1 << 18, 8, (3, 4, 5), 3
+BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5, 6)
+#: Words of a phrase; bytes of a text that are scored at a time (only words longer than that are cut).
+PHRASE, PIECE = 3, 1 << 20
+#: Rounds with random phrases (so many of a document) and with the highest ones, and the step.
+WARM, RANDOM, SHARP, HIGHEST, STEP, BATCH = 4, 12, 12, 3, 0.5, 256
 #: Every ASCII byte that isn't a letter or a digit parts words.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MULTIPLIER = np.uint32(0x01000193)
@@ -67,7 +73,7 @@ def grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """weight[g]: what an n-gram adds to a word's mean logit; the last entry is for none."""
+    """weight[g]: what an n-gram adds to a phrase's mean logit; the last entry is for none."""
 
     weight: np.ndarray
     bias: float
@@ -75,22 +81,39 @@ class Model:
     offset: float
     floor: float
 
-    def worst(self, text: str | None) -> float | None:
-        data = words_of(text)
+    def phrases(self, data: bytes) -> np.ndarray:
+        """The logit of each phrase of :func:`words_of`."""
         g, start = grams(data)
         if not len(start):
-            return None
-        add = self.weight[g].sum(axis=0, dtype=np.float64)
-        count = (g >= 0).sum(axis=0)
+            return np.empty(0)
+        start = start[::PHRASE]
+        add, count = self.weight[g].sum(axis=0, dtype=np.float64), (g >= 0).sum(axis=0)
         total, n = np.add.reduceat(add, start), np.add.reduceat(count, start)
-        ok = n > 0
-        return float((total[ok] / n[ok]).max()) + self.bias if ok.any() else None
+        return total[n > 0] / n[n > 0] + self.bias
+
+    def logit(self, text: str | None) -> float | None:
+        """None for a text without words of at least one n-gram."""
+        z = [self.phrases(part) for part in pieces(words_of(text))]
+        z = np.concatenate(z)
+        return float(np.logaddexp.reduce(z)) if len(z) else None
 
     def score(self, text: str | None) -> float:
-        x = self.worst(text) if self.slope else None
+        x = self.logit(text) if self.slope else None
         return self.floor if x is None else _sigmoid(self.slope * x + self.offset)
 
 
+def pieces(data: bytes) -> list[bytes]:
+    """The words in parts of about PIECE bytes, each with spaces around."""
+    out, i, end = [], 0, len(data) - 2
+    while end - i > PIECE + 2:
+        cut = data.find(b" ", i + PIECE, min(end, i + 2 * PIECE))
+        if cut < 0:
+            cut = i + PIECE
+        out.append(b" " + data[i:cut].strip(b" ") + b"  ")
+        i = cut
+    return [*out, b" " + data[i:end].strip(b" ") + b"  "]
+
+
 def _sigmoid(x):
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
@@ -99,93 +122,151 @@ def constant(share: float) -> Model:
     return Model(np.zeros(BUCKETS + 1, np.float32), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))), share)
 
 
+class Embeddings:
+    """The n-grams' table and the softmax over the mean of a phrase's, trained by Adagrad."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+        self.bias = np.zeros(2, np.float32)
+        self.fast_table, self.fast_out = np.full(BUCKETS, 1e-5, np.float32), np.full(self.out.shape, 1e-5, np.float32)
+
+    def collapsed(self) -> tuple[np.ndarray, float]:
+        """What each n-gram adds to a mean logit (the last one, for none, nothing) and the bias: the same as the softmax, as it is linear."""
+        return np.append(self.table @ (self.out[:, 1] - self.out[:, 0]), 0).astype(np.float32), float(self.bias[1] - self.bias[0])
+
+    def learn(self, bag: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.ndarray) -> None:
+        """One step. bag: n-grams of phrases, owner: each one's phrase; target and share: class and weight of each phrase."""
+        n = np.maximum(np.bincount(owner, minlength=len(target)), 1).astype(np.float32)
+        at, back = np.unique(bag, return_inverse=True)
+        rows = self.table[at]
+        hidden = np.stack([np.bincount(owner, rows[back, d], len(target)) for d in range(DIM)], axis=1).astype(np.float32) / n[:, None]
+        z = hidden @ self.out + self.bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(target)), target] -= 1
+        p *= (share / share.sum())[:, None]
+        grad_out, grad_hidden = hidden.T @ p, (p @ self.out.T) / n[:, None]
+        self.fast_out += grad_out**2
+        self.out -= STEP * grad_out / np.sqrt(self.fast_out)
+        self.bias -= STEP * p.sum(axis=0)
+        step = np.stack([np.bincount(back, grad_hidden[owner, d], len(at)) for d in range(DIM)], axis=1).astype(np.float32)
+        self.fast_table[at] += (step**2).mean(axis=1)
+        self.table[at] = rows - STEP * step / np.sqrt(self.fast_table[at])[:, None]
+
+
+class Corpus:
+    """Training documents as words, words as bags of n-grams."""
+
+    def __init__(self, texts: list[str]):
+        ids: dict[bytes, int] = {}
+        self.docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t).split()], np.int32) for t in texts]
+        words, bags, sizes = list(ids), [], np.zeros(len(ids), np.int64)
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            g, start = grams(b" " + b" ".join(part) + b"  ")
+            size = np.add.reduceat((g >= 0).sum(axis=0), start)
+            g = g.T.ravel()
+            bags.append(g[g >= 0])
+            sizes[i : i + len(part)] = size
+        self.bag = np.concatenate(bags) if bags else np.empty(0, np.int32)
+        self.first, self.sizes = np.append(0, np.cumsum(sizes)), sizes
+        # phrases of all documents, one after the other: their words' places, n-grams, and each document's first one
+        words, lengths = np.concatenate([*self.docs, np.empty(0, np.int32)]), np.array([len(d) for d in self.docs])
+        self.words, begin = words, np.append(0, np.cumsum(lengths))
+        self.starts = np.concatenate([*(np.arange(a, b, PHRASE) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), np.empty(0, np.int64)])
+        self.ends = np.minimum(self.starts + PHRASE, np.repeat(begin[1:], -(-lengths // PHRASE)))
+        self.phrase = np.append(0, np.cumsum(-(-lengths // PHRASE)))
+        self.counts = np.add.reduceat(sizes[words], self.starts) if len(words) else np.empty(0, np.int64)
+
+    def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
+        """Of all phrases; those without n-grams have none (minus infinity)."""
+        if not len(self.words):
+            return np.empty(0)
+        sums = np.append(0, np.cumsum(weight[self.bag], dtype=np.float64))
+        own = (sums[self.first[1:]] - sums[self.first[:-1]])[self.words]
+        return np.where(self.counts > 0, np.add.reduceat(own, self.starts) / np.maximum(self.counts, 1) + bias, -np.inf)
+
+    def gathered(self, z: np.ndarray) -> np.ndarray:
+        """Each document's logit, nan without phrases."""
+        out = np.full(len(self.docs), np.nan)
+        for i, (a, b) in enumerate(zip(self.phrase[:-1].tolist(), self.phrase[1:].tolist(), strict=True)):
+            if b > a and np.isfinite(x := np.logaddexp.reduce(z[a:b])):
+                out[i] = x
+        return out
+
+    def grams_of(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, which phrase each is of) of phrases by their numbers."""
+        n = self.ends[phrases] - self.starts[phrases]
+        word = self.words[np.repeat(self.starts[phrases] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())]
+        owner, size = np.repeat(np.arange(len(phrases)), n), self.sizes[word]
+        at = np.repeat(self.first[word] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+        return self.bag[at], np.repeat(owner, size)
+
+
+def learned(corpus: Corpus, own: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Weights and bias from the documents ``own``."""
+    model = Embeddings(rng)
+    own = own[np.diff(corpus.phrase)[own] > 0]
+    balance = {v: 0.5 / max(1, (y[own] == v).sum()) for v in (0, 1)}
+    for turn in range(WARM + SHARP):
+        order = rng.permutation(own)
+        for j in range(0, len(order), BATCH):
+            if turn >= WARM and j % (4 * BATCH) == 0:
+                z = corpus.logits(*model.collapsed())
+            phrases, target, share = [], [], []
+            for i in order[j : j + BATCH].tolist():
+                a, b = int(corpus.phrase[i]), int(corpus.phrase[i + 1])
+                if turn < WARM:
+                    some = np.arange(a, b) if b - a <= RANDOM else rng.integers(a, b, RANDOM)
+                    mine = np.full(len(some), 1 / len(some))
+                else:
+                    part = z[a:b]
+                    top = np.argpartition(-part, HIGHEST - 1)[:HIGHEST] if b - a > HIGHEST else np.arange(b - a)
+                    mine, some = np.exp(np.clip(part[top] - part.max(), -30, 0)) if np.isfinite(part.max()) else np.ones(len(top)), a + top
+                    mine /= mine.sum()
+                phrases.append(some)
+                target.append(np.full(len(some), y[i]))
+                share.append(mine * balance[y[i]])
+            model.learn(*corpus.grams_of(np.concatenate(phrases)), np.concatenate(target), np.concatenate(share).astype(np.float32))
+    return model.collapsed()
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Fits a model to labelled texts; numpy only."""
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
-    ids: dict[bytes, int] = {}
-    docs = []
-    for t in texts:
-        docs.append(np.array(sorted({ids.setdefault(w, len(ids)) for w in words_of(t).split()}), np.int64))
-    bags, sizes = [], np.zeros(len(ids), np.int64)
-    words = list(ids)
-    for i in range(0, len(words), 50_000):
-        part = words[i : i + 50_000]
-        g, start = grams(b" " + b" ".join(part) + b"  ")
-        owner = np.repeat(np.arange(len(part)), np.diff(np.append(start, g.shape[1])))
-        inner = g[:, start[0] :]
-        ok = inner.T.ravel() >= 0
-        bags.append(inner.T.ravel()[ok])
-        sizes[i : i + len(part)] = np.bincount(np.repeat(owner, len(GRAMS))[ok], minlength=len(part))
-    bag = np.concatenate(bags) if bags else np.empty(0, np.int32)
-    first = np.append(0, np.cumsum(sizes))
-    usable = sizes > 0
-    docs = [d[usable[d]] for d in docs]
-    pos, neg = (max(1, int((y == v).sum())) for v in (1, 0))
-    # the first guess: a word is as toxic as the share of toxic documents among those that hold its n-grams
-    df = np.ones((2, BUCKETS))
-    for d, v in zip(docs, y, strict=True):
-        if len(d):
-            own = np.unique(np.concatenate([bag[first[w] : first[w + 1]] for w in d]))
-            df[v, own] += 1
-    guess = np.log(df[1] / pos) - np.log(df[0] / neg)
-    mean = np.add.reduceat(np.append(guess[bag], 0.0), np.minimum(first[:-1], len(bag))) / np.maximum(sizes, 1)
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    fast_t, fast_o = np.full((BUCKETS, 1), 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32)
-    for _ in range(ROUNDS):
-        toxic = np.unique([d[np.argmax(mean[d])] for d, v in zip(docs, y, strict=True) if v == 1 and len(d)]).astype(np.int64)
-        clean = [d[np.argsort(-mean[d])[:6]] for d, v in zip(docs, y, strict=True) if v == 0 and len(d)]
-        clean += [rng.choice(d, min(6, len(d)), replace=False) for d, v in zip(docs, y, strict=True) if v == 0 and len(d)]
-        clean = np.unique(np.concatenate(clean)) if clean else np.empty(0, np.int64)
-        toxic = np.setdiff1d(toxic, np.concatenate([d for d, v in zip(docs, y, strict=True) if v == 0] or [clean]))
-        if not len(toxic) or not len(clean):
-            break
-        times = max(1, len(clean) // (2 * len(toxic)))
-        item = np.concatenate([np.tile(toxic, min(times, 20)), clean])
-        target = np.append(np.ones(len(item) - len(clean), np.int64), np.zeros(len(clean), np.int64))
-        for _epoch in range(4):
-            order = rng.permutation(len(item))
-            for i in range(0, len(order), 512):
-                w, t = item[order[i : i + 512]], target[order[i : i + 512]]
-                n = sizes[w]
-                offset = np.append(0, np.cumsum(n))[:-1]
-                at = bag[np.repeat(first[w] - offset, n) + np.arange(n.sum())]
-                hidden = np.add.reduceat(table[at], offset) / n[:, None]
-                z = hidden @ out + bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(t)), t] -= 1
-                grad_o, grad_h = hidden.T @ p / len(t), (p @ out.T) / n[:, None]
-                fast_o += grad_o**2
-                out -= 0.3 * grad_o / np.sqrt(fast_o)
-                bias -= 0.1 * p.mean(axis=0)
-                rows, back = np.unique(at, return_inverse=True)
-                step = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(step, back, np.repeat(grad_h, n, axis=0).astype(np.float32))
-                fast_t[rows] += (step**2).mean(axis=1, keepdims=True)
-                table[rows] -= 0.3 * step / np.sqrt(fast_t[rows])
-        weight = table @ (out[:, 1] - out[:, 0])
-        mean = np.add.reduceat(np.append(weight[bag], 0.0), np.minimum(first[:-1], len(bag))) / np.maximum(sizes, 1)
-    else:
-        diff = float(bias[1] - bias[0])
-        x = np.array([mean[d].max() + diff if len(d) else np.nan for d in docs])
-        slope, offset = platt(x[~np.isnan(x)], y[~np.isnan(x)])
-        floor = _sigmoid(slope * min(np.nanmin(x), -5.0) + offset)
-        return Model(np.append(weight, 0).astype(np.float32), diff, slope, offset, floor)
-    return constant(float(y.mean()))
-
-
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit, by Newton's method with a little weight decay."""
+    corpus = Corpus(texts)
+    # the logits of each half of the documents come from the other half, for the logistic fit
+    half = np.zeros(len(y), bool)
+    for v in (0, 1):
+        half[rng.permutation(np.flatnonzero(y == v))[::2]] = True
+    x = np.full(len(y), np.nan)
+
+    for side in (False, True):
+        if len(np.unique(y[half == side])) == 2:
+            z = corpus.gathered(corpus.logits(*learned(corpus, np.flatnonzero(half == side), y, rng)))
+            x[half != side] = z[half != side]
+    weight, bias = learned(corpus, np.arange(len(y)), y, rng)
+    if np.isnan(x).all():
+        x = corpus.gathered(corpus.logits(weight, bias))
+    ok = ~np.isnan(x)
+    if not ok.any():
+        return constant(float(y.mean()))
+    slope, offset = platt(x[ok], y[ok], balanced=True)
+    return Model(weight, bias, slope, offset, _sigmoid(slope * x[ok].min() + offset))
+
+
+def platt(x: np.ndarray, y: np.ndarray, balanced: bool = False) -> tuple[float, float]:
+    """Slope and offset of a logistic fit, by Newton's method with a little weight decay. balanced: either class weighs as much."""
     a, b = 1.0, 0.0
+    v = np.where(y == 1, len(y) / 2 / max(1, (y == 1).sum()), len(y) / 2 / max(1, (y == 0).sum())) if balanced else np.ones(len(y))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum()])
+        w = v * (p * (1 - p) + 1e-6)
+        g = np.array([(v * (p - y) * x).sum() + 1e-2 * a, (v * (p - y)).sum()])
         h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum()]])
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
