@@ -15,10 +15,19 @@ from strataquery.functions import columns as C
 from strataquery.functions import kernels as K
 
 
-def classify_paths(disk: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, state): new, missing, changed or unchanged, by a full outer join of paths."""
+def classify_paths(disk: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
+    """(path, state): new, missing, changed or unchanged, by a full outer join of paths.
+
+    fold: the workspace takes no heed of case, so a path in another case is known. Its content hasn't been compared under the
+    exact name, so it counts as changed; see :func:`moves_copies_mints` for what becomes of it.
+    """
     d = disk.select("path", F.col("content_hash").alias("_new"))
     k = known.select("path", F.col("content_hash").alias("_old")).dropDuplicates(["path"])
+    if fold:
+        d, k = d.withColumn("_key", F.lower("path")), k.select(F.lower("path").alias("_key"), F.col("path").alias("_known"), "_old").dropDuplicates(["_key"])
+        same = (F.col("_old") == F.col("_new")) & (F.col("path") == F.col("_known"))
+        state = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "missing").when(same, "unchanged").otherwise("changed")
+        return d.join(k, "_key", "full_outer").select(F.coalesce("path", "_known").alias("path"), state.alias("state"))
     state = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "missing").when(F.col("_old") == F.col("_new"), "unchanged").otherwise("changed")
     return d.join(k, "path", "full_outer").select("path", state.alias("state"))
 
@@ -41,21 +50,29 @@ def inherit_bijective(disk: DataFrame, entities: DataFrame) -> DataFrame:
     return d.join(first, "content_hash").join(e, ["content_hash", "ordinal"], "left").select("path", "content_hash", "ordinal", "entity_id", "template", F.col("entity_id").isNull().alias("minted"))
 
 
-def moves_copies_mints(disk: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, content_hash, action, entity_id) for paths that aren't known.
+def moves_copies_mints(disk: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
+    """(path, content_hash, action, entity_id, source_path) for paths that aren't known, as if they came in the order of paths.
 
-    The first new path of a hash (by path) carries the least entity of that hash whose own path is gone (move); any
-    other new path with a known hash is a copy of the least entity that has it; of unknown hashes the
-    first path is minted, and later ones copy it (entity null).
+    Only the first entity of a hash (the least id) counts. If its own path is gone, the hash's first new path
+    carries it (move); it then stands on disk again, so any other new path is a copy of it, as all are if its path is still there. Other
+    entities of the hash stay where they are. The first path of an unknown hash is minted, and later ones copy that
+    (entity null, source_path the minted one).
+    fold: the workspace takes no heed of case; a path that differs from the first entity's in case alone carries it, wherever it comes.
     """
+    name = (lambda c: F.lower(c)) if fold else (lambda c: F.col(c))
     new = disk.join(known.select("path").distinct(), "path", "left_anti")
-    gone = known.join(disk.select("path").distinct(), "path", "left_anti").groupBy("content_hash").agg(F.array_sort(F.collect_set("entity_id")).alias("movable"))
-    have = known.groupBy("content_hash").agg(F.min("entity_id").alias("source"))
-    rn = F.row_number().over(Window.partitionBy("content_hash").orderBy("path"))
-    rows = new.select("path", "content_hash", rn.alias("rn")).join(gone, "content_hash", "left").join(have, "content_hash", "left")
-    moved = F.coalesce(F.size("movable"), F.lit(0)) >= F.col("rn")
+    first = known.groupBy("content_hash").agg(F.min_by(F.struct("entity_id", "path"), "entity_id").alias("first")).select("content_hash", F.col("first.entity_id").alias("source"), F.col("first.path").alias("_own"))
+    there = disk.select(name("path").alias("_at")).distinct()
+    first = first.withColumn("_at", name("_own")).join(there.withColumn("_there", F.lit(True)), "_at", "left").drop("_at")
+    w = Window.partitionBy("content_hash")
+    rows = new.select("path", "content_hash", F.row_number().over(w.orderBy("path")).alias("rn")).join(first, "content_hash", "left")
+    moved = F.col("source").isNotNull() & F.col("_there").isNull() & (F.col("rn") == 1)
+    if fold:
+        moved |= F.coalesce(F.lower("path") == F.lower("_own"), F.lit(False))
     action = F.when(moved, "move").when(F.col("source").isNotNull() | (F.col("rn") > 1), "copy").otherwise("mint")
-    return rows.select("path", "content_hash", action.alias("action"), F.when(moved, F.try_element_at("movable", F.col("rn"))).otherwise(F.col("source")).alias("entity_id"))
+    minted = F.min(F.when(F.col("rn") == 1, F.col("path"))).over(w)
+    rows = rows.withColumn("_minted", minted)
+    return rows.select("path", "content_hash", action.alias("action"), F.col("source").alias("entity_id"), F.when(action == "copy", F.when(F.col("source").isNull(), F.col("_minted")).otherwise(F.col("_own"))).alias("source_path"))
 
 
 def size_band_pairs(new: DataFrame, candidates: DataFrame, band: float = K.SIZE_BAND, size: str = "size_bytes") -> DataFrame:
@@ -79,13 +96,24 @@ def fuzzy_matches(new: DataFrame, missing: DataFrame, match_from: float = K.MATC
     new: path, size_bytes, fingerprint; missing: entity_id, size_bytes, fingerprint. Both sides need a fingerprint
     and enough bytes. A tie at the top never matches; it is for review.
     """
+    top = likeliest(scored_pairs(new, missing))
+    outcome = F.when((F.col("confidence") >= match_from) & (F.col("tied") == 1), "match").when(F.col("confidence") >= review_from, "review").otherwise("none")
+    return top.select("path", "entity_id", "distance", "confidence", outcome.alias("outcome"))
+
+
+def scored_pairs(new: DataFrame, missing: DataFrame) -> DataFrame:
+    """(path, entity_id, distance, confidence) of all pairs of new and missing files in the size band."""
     enough = f"size_bytes >= {K.EVIDENCE_BYTES} AND fingerprint IS NOT NULL"
     pairs = size_band_pairs(new.where(enough).select("path", "size_bytes", "fingerprint"), missing.where(enough).select("entity_id", "size_bytes", "fingerprint"))
-    scored = pairs.withColumn("distance", K.distance_udf("new_fingerprint", "fingerprint")).withColumn("confidence", C.confidence(F.col("distance"), C.most_distance(F.col("new_size_bytes"), F.col("size_bytes"))))
-    best = scored.groupBy("new_path").agg(F.max("confidence").alias("confidence"))
-    top = scored.join(best, ["new_path", "confidence"]).groupBy("new_path", "confidence").agg(F.min("entity_id").alias("entity_id"), F.min_by("distance", "entity_id").alias("distance"), F.count("*").alias("tied"))
-    outcome = F.when((F.col("confidence") >= match_from) & (F.col("tied") == 1), "match").when(F.col("confidence") >= review_from, "review").otherwise("none")
-    return top.select(F.col("new_path").alias("path"), "entity_id", "distance", "confidence", outcome.alias("outcome"))
+    d = pairs.withColumn("distance", K.distance_udf("new_fingerprint", "fingerprint"))
+    return d.select(F.col("new_path").alias("path"), "entity_id", "distance", C.confidence(F.col("distance"), C.most_distance(F.col("new_size_bytes"), F.col("size_bytes"))).alias("confidence"))
+
+
+def likeliest(scored: DataFrame) -> DataFrame:
+    """(path, entity_id, distance, confidence, tied): each path's likeliest entity, the least id of equals, and how many are equal. One pass over the pairs."""
+    level = scored.groupBy("path", "confidence").agg(F.count("*").alias("tied"), F.min("entity_id").alias("entity_id"), F.min_by("distance", "entity_id").alias("distance"))
+    top = level.groupBy("path").agg(F.max("confidence").alias("confidence"), F.max_by(F.struct("entity_id", "distance", "tied"), "confidence").alias("top"))
+    return top.select("path", "top.entity_id", "top.distance", "confidence", "top.tied")
 
 
 def bag_jaccard(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

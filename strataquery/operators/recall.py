@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,8 @@ class Recall:
     degraded: bool
     reason: str | None = None
     arms: dict[str, str] = field(default_factory=dict)
+    #: Ids among the vector arm's best whose vector is of another model than the active one: to be embedded anew.
+    requeue: DataFrame | None = None
 
 
 HIT = ["source", "path", "title", "body", "concepts", "content_hash"]
@@ -70,7 +74,7 @@ def recall(versions: DataFrame, query: str, vector: list[float] | None, limit: o
     """Searches the last described version of each entity.
 
     An empty query gives nothing and counts as degraded, as does a vector that is missing, has the wrong size or a
-    value that isn't finite: the lexical arm then answers alone. The vector arm goes first, so its row wins.
+    value that isn't finite: the lexical arm then answers alone, as either does if the other fails. The vector arm goes first, so its row wins.
     """
     n = C.clamp_limit(limit)
     rows = latest_where(versions, F.col("describe_status") == "described").where(F.col("entity_id") != "")
@@ -79,9 +83,30 @@ def recall(versions: DataFrame, query: str, vector: list[float] | None, limit: o
     term = query.strip()
     if not term:
         return Recall(rows.where("false").select("id", *HIT, F.lit(0.0).alias("rrf")), True)
-    lexical = ranked(lexical_arm(rows, term, ["title", "body", "concepts"], n), 1, "id", "priority")
+    lexical = _answer(lambda: ranked(lexical_arm(rows, term, ["title", "body", "concepts"], n), 1, "id", "priority"))
+    state = "ok" if lexical is not None else "error"
+    nothing = rows.where("false").select("id", *HIT, F.lit(0.0).alias("rrf"))
     bad = "no-query-vector" if vector is None else "wrong-dimension" if dim is not None and len(vector) != dim else "bad-query-vector" if not all(map(math.isfinite, vector)) else None
     if bad:
-        return Recall(fuse([lexical], HIT, n), True, bad, {"lexical": "ok", "vector": "off"})
-    usable, _ = vector_arm(rows, vector, n, active_model=active_model)
-    return Recall(fuse([ranked(usable, 0, "id", F.desc("score")), lexical], HIT, n), False, None, {"lexical": "ok", "vector": "ok"})
+        return Recall(fuse([lexical], HIT, n) if lexical is not None else nothing, True, bad, {"lexical": state, "vector": "off"})
+    found = _answer(lambda: _marked(rows, vector, n, active_model))
+    if found is None:
+        return Recall(fuse([lexical], HIT, n) if lexical is not None else nothing, True, "vector-arm-error", {"lexical": state, "vector": "error"})
+    near = ranked(found.where("_usable"), 0, "id", F.desc("score"))
+    arms = [near] if lexical is None else [near, lexical]
+    return Recall(fuse(arms, HIT, n), lexical is None, None if lexical is not None else "lexical-arm-error", {"lexical": state, "vector": "ok"}, found.where("NOT _usable").select("id"))
+
+
+def _marked(rows: DataFrame, vector: list[float], n: int, active_model: str | None) -> DataFrame:
+    """The vector arm's best, with whether their model is the active one."""
+    usable, out = vector_arm(rows, vector, n, active_model=active_model)
+    return usable.withColumn("_usable", F.lit(True)).unionByName(out.withColumn("_usable", F.lit(False)))
+
+
+def _answer(arm: Callable[[], DataFrame]) -> DataFrame | None:
+    """An arm's rows, worked out (at most OVERFETCH times the limit), or None if it fails: the other arm then answers alone."""
+    try:
+        df = arm()
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    except PySparkException:
+        return None

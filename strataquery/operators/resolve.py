@@ -1,13 +1,15 @@
 """Entity resolution of a batch of observed files, the repair sweep, reviews and pruning.
 
-The ladder (the first step that applies wins): 1 nothing changed; 2 a known path with new content; 3 content that is known from a
-path that is gone (a move); 4 likeness to a file that is gone; 5 a new entity, as a copy
+The ladder (the first step that applies wins): 1 nothing changed; 2 a known path with new content; 3 content whose first entity's
+path is gone (a move); 4 likeness to a file that is gone; 5 a new entity, as a copy
 of a known one or on its own. Steps 1, 2, 3 and 5 are joins. Step 4 depends on the order of files, since a carried
 entity is no longer missing for later ones: pairs are scored by a band join, and turns are taken by rounds of proposals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +17,15 @@ from strataquery.functions import columns as C
 from strataquery.functions import kernels as K
 from strataquery.operators import matching as M
 from strataquery.operators.versions import latest, ties
+from strataquery.schemas import TENANCY
 from strataquery.session import cut_lineage
 
 CARRIED = ["title", "description", "concepts", "embedding", "described_at", "describe_model", "describe_status"]
 
 
-def scored_candidates(new: DataFrame, missing: DataFrame) -> DataFrame:
-    """All pairs of new and missing files in the size band with their confidence."""
-    enough = f"size_bytes >= {K.EVIDENCE_BYTES} AND fingerprint IS NOT NULL"
-    pairs = M.size_band_pairs(new.where(enough).select("path", "size_bytes", "fingerprint"), missing.where(enough).select("entity_id", "size_bytes", "fingerprint"))
-    d = pairs.withColumn("distance", K.distance_udf("new_fingerprint", "fingerprint"))
-    return d.select(F.col("new_path").alias("path"), "entity_id", "distance", C.confidence(F.col("distance"), C.most_distance(F.col("new_size_bytes"), F.col("size_bytes"))).alias("confidence"))
-
-
 def _best(scored: DataFrame, held: DataFrame | None) -> DataFrame:
-    """(path, entity_id, distance, confidence, tied): each path's likeliest entity that no earlier path holds."""
-    free = scored if held is None else scored.join(held, "entity_id", "left").where("holder IS NULL OR holder >= path")
-    level = free.groupBy("path", "confidence").agg(F.count("*").alias("tied"), F.min("entity_id").alias("entity_id"), F.min_by("distance", "entity_id").alias("distance"))
-    top = level.groupBy("path").agg(F.max("confidence").alias("confidence"), F.max_by(F.struct("entity_id", "distance", "tied"), "confidence").alias("top"))
-    return top.select("path", "top.entity_id", "top.distance", "confidence", "top.tied")
+    """Each path's likeliest entity that no earlier path holds."""
+    return M.likeliest(scored if held is None else scored.join(held, "entity_id", "left").where("holder IS NULL OR holder >= path"))
 
 
 def greedy(scored: DataFrame, match_from: float = K.MATCH_FROM, review_from: float = K.REVIEW_FROM) -> DataFrame:
@@ -57,31 +49,47 @@ def greedy(scored: DataFrame, match_from: float = K.MATCH_FROM, review_from: flo
     return best.where(F.col("confidence") >= review_from).select("path", "entity_id", "distance", "confidence", outcome.alias("outcome"))
 
 
-def resolve(observed: DataFrame, known: DataFrame, fuzzy: bool = True, match_from: float = K.MATCH_FROM, review_from: float = K.REVIEW_FROM) -> DataFrame:
-    """(path, step, action, entity_id, confidence): what becomes of each path, gone ones (action missing) included.
+Fuzzy = Callable[[DataFrame, DataFrame], DataFrame]
+"""Step 4: (new files with fingerprints, missing entities) -> (path, entity_id, distance, confidence, outcome match or review)."""
+
+
+def by_likeness(match_from: float = K.MATCH_FROM, review_from: float = K.REVIEW_FROM) -> Fuzzy:
+    """The step by fingerprints."""
+    return lambda new, missing: greedy(M.scored_pairs(new, missing), match_from, review_from)
+
+
+def resolve(observed: DataFrame, known: DataFrame, fuzzy: Fuzzy | None = None, fold: bool = False) -> DataFrame:
+    """(path, step, action, entity_id, confidence, source_path): what becomes of each path, gone ones (action missing) included.
 
     observed: path, content_hash, size_bytes and (for step 4) content; known: last versions (entity_id, path,
-    content_hash, size_bytes, fingerprint). entity_id is the copied one for copies, null for mints.
+    content_hash, size_bytes, fingerprint). fuzzy: step 4, left out if None. fold: the workspace takes no heed of case.
+    entity_id is the copied one for copies, null for mints; source_path is the copied one's path.
     """
     state = M.classify_paths(observed, known)
     own = known.select("path", "entity_id").groupBy("path").agg(F.min("entity_id").alias("entity_id"))
+    mcm = M.moves_copies_mints(observed, known, fold)
     seen = state.where("state <> 'new'").join(own, "path", "left")
+    if fold:
+        # a path whose entity goes on under another case isn't missing
+        again = mcm.where("action = 'move'").select(F.col("entity_id"))
+        seen = seen.where("state <> 'missing'").unionByName(seen.where("state = 'missing'").join(again, "entity_id", "left_anti").select(*seen.columns))
     steps = seen.select(
         "path",
         F.when(F.col("state") == "unchanged", 1).when(F.col("state") == "changed", 2).otherwise(0).alias("step"),
         F.when(F.col("state") == "unchanged", "unchanged").when(F.col("state") == "changed", "edit").otherwise("missing").alias("action"),
         "entity_id",
         F.lit(1.0).alias("confidence"),
+        F.lit(None).cast("string").alias("source_path"),
     )
-    mcm = M.moves_copies_mints(observed, known)
-    exact = mcm.where("action <> 'mint'").select("path", F.when(F.col("action") == "move", 3).otherwise(5).alias("step"), "action", "entity_id", F.lit(1.0).alias("confidence"))
+    exact = mcm.where("action <> 'mint'").select("path", F.when(F.col("action") == "move", 3).otherwise(5).alias("step"), "action", "entity_id", F.lit(1.0).alias("confidence"), "source_path")
     fresh = mcm.where("action = 'mint'")
-    if not fuzzy or "content" not in observed.columns:
-        return steps.unionByName(exact).unionByName(fresh.select("path", F.lit(5).alias("step"), "action", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("double").alias("confidence")))
+    none = F.lit(None).cast("string").alias("source_path")
+    if fuzzy is None or "content" not in observed.columns:
+        return steps.unionByName(exact).unionByName(fresh.select("path", F.lit(5).alias("step"), "action", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("double").alias("confidence"), none))
     moved = mcm.where("action = 'move'").select("entity_id")
     gone = known.join(observed.select("path").distinct(), "path", "left_anti").join(moved, "entity_id", "left_anti")
     new = observed.join(fresh.select("path"), "path", "left_semi").withColumn("fingerprint", K.fingerprint_udf(F.col("content").cast("binary")))
-    near = greedy(scored_candidates(new, gone), match_from, review_from)
+    near = fuzzy(new, gone)
     decided = fresh.select("path").join(near, "path", "left")
     rest = decided.select(
         "path",
@@ -89,6 +97,7 @@ def resolve(observed: DataFrame, known: DataFrame, fuzzy: bool = True, match_fro
         F.when(F.col("outcome") == "match", "carry").when(F.col("outcome") == "review", "review").otherwise("mint").alias("action"),
         F.when(F.col("outcome").isNotNull(), F.col("entity_id")).alias("entity_id"),
         "confidence",
+        none,
     )
     return steps.unionByName(exact).unionByName(rest)
 
@@ -170,15 +179,25 @@ def upsert_reviews(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
-def accept_reviews(reviews: DataFrame, decisions: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, outcome, candidate, new_path, minted_id): accepted ones carry and retire the placeholder; stale if the path's content has changed since.
+def accept_reviews(reviews: DataFrame, decisions: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+    """What decisions on reviews lead to: outcomes (id, outcome), carried version rows, and retired entities (entity_id).
 
-    decisions: id, accept (boolean).
+    reviews: id, candidate, new_path, content_hash, size_bytes, confidence, minted_id; decisions: id, decision (accept, reject or
+    skip); known: the tenant's last versions. An accepted review is stale if its candidate isn't in the tenant any more or the
+    placeholder that was minted for the path has other content by now. Else the candidate goes on at the path,
+    pending, and the placeholder retires, so that one entity alone is there. Skipped reviews stay as they are.
     """
-    now = known.select(F.col("path").alias("new_path"), F.col("content_hash").alias("_now")).dropDuplicates(["new_path"])
-    rows = reviews.join(decisions, "id").join(now, "new_path", "left")
-    outcome = F.when(~F.col("accept"), "rejected").when(F.col("_now").isNull() | (F.col("_now") != F.col("content_hash")), "stale").otherwise("carried")
-    return rows.select("id", outcome.alias("outcome"), "candidate", "new_path", F.when(outcome == "carried", F.col("minted_id")).alias("retire"))
+    last = known.select("entity_id", F.col("content_hash").alias("_hash"))
+    mine = last.select(F.col("entity_id").alias("candidate"), F.lit(True).alias("_there"))
+    minted = last.select(F.col("entity_id").alias("minted_id"), F.col("_hash").alias("_now"))
+    rows = reviews.join(decisions.select("id", "decision"), "id").join(mine, "candidate", "left").join(minted, "minted_id", "left")
+    stale = F.col("_there").isNull() | F.coalesce(F.col("_now") != F.col("content_hash"), F.lit(False))
+    outcome = F.when(F.col("decision") == "accept", F.when(stale, "stale").otherwise("carried")).when(F.col("decision") == "reject", "rejected").otherwise("skipped")
+    rows = rows.withColumn("outcome", outcome)
+    done = rows.where("outcome = 'carried'")
+    moved = done.select(F.col("candidate").alias("entity_id"), F.col("new_path").alias("path"), "confidence", "content_hash", "size_bytes")
+    retired = done.where("_now IS NOT NULL AND minted_id <> candidate").select(F.col("minted_id").alias("entity_id")).distinct()
+    return {"outcomes": rows.select("id", "outcome"), "carried": carried_versions(moved, known).withColumn("describe_status", F.lit("pending")), "retired": retired}
 
 
 def prune_candidates(latest_rows: DataFrame, on_disk: DataFrame, now: str, grace_days: int = 30) -> DataFrame:
@@ -188,6 +207,18 @@ def prune_candidates(latest_rows: DataFrame, on_disk: DataFrame, now: str, grace
     return gone.where(F.coalesce(age, F.lit(2**62)) > grace_days * 86_400).orderBy("path")
 
 
-def delete_entities(tables: list[DataFrame], gone: DataFrame) -> list[DataFrame]:
-    """Each table without the entities of ``gone``: plain parquet is rewritten, so the caller writes the results anew."""
-    return [t.join(gone.select("entity_id").distinct(), "entity_id", "left_anti") for t in tables]
+def confirm_prune(chosen: DataFrame, latest_rows: DataFrame, on_disk: DataFrame, now: str, grace_days: int = 30) -> DataFrame:
+    """Of the entities chosen some time ago, those that are still candidates by what is known and on disk now."""
+    return prune_candidates(latest_rows, on_disk, now, grace_days).join(chosen.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
+def delete_entities(tables: list[DataFrame], gone: DataFrame, tenancy: tuple[str, str, str] | None = None) -> list[DataFrame]:
+    """Each table without the entities of ``gone``: plain parquet is rewritten, so the caller writes the results anew.
+
+    tenancy: rows of other tenants stay, whatever their entity.
+    """
+    ids = gone.select("entity_id").distinct()
+    if tenancy is None:
+        return [t.join(ids, "entity_id", "left_anti") for t in tables]
+    own = ids.withColumns({c: F.lit(v) for c, v in zip(TENANCY, tenancy, strict=True)})
+    return [t.join(own, ["entity_id", *TENANCY], "left_anti") for t in tables]

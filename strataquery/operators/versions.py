@@ -19,8 +19,12 @@ def in_tenancy(df: DataFrame, org: str, workspace: str, project: str) -> DataFra
     return df.where((F.col(TENANCY[0]) == org) & (F.col(TENANCY[1]) == workspace) & (F.col(TENANCY[2]) == project))
 
 
+#: What settles a tie in seq, in turn: the greatest comes last.
+TIES = ("observed_at", "content_hash", "path", "describe_status")
+
+
 def ties(df: DataFrame) -> list[Column]:
-    return [F.desc(c) for c in ("observed_at", "content_hash", "path", "describe_status") if c in df.columns]
+    return [F.desc(c) for c in TIES if c in df.columns]
 
 
 def latest(versions: DataFrame, key: str = "entity_id", order: str = "seq") -> DataFrame:
@@ -94,7 +98,7 @@ def queue_depths(versions: DataFrame) -> DataFrame:
     """One row: entities with any pending version, and entities whose last version is pending or failed. They differ."""
     per = versions.groupBy("entity_id").agg(
         F.max(F.when(F.col("describe_status") == "pending", 1).otherwise(0)).alias("any"),
-        F.max(F.struct("seq", F.col("describe_status").isin(*UNDONE).cast("int").alias("undone"))).alias("last"),
+        F.max(F.struct("seq", *[c for c in TIES if c in versions.columns], F.col("describe_status").isin(*UNDONE).cast("int").alias("undone"))).alias("last"),
     )
     return per.agg(F.coalesce(F.sum("any"), F.lit(0)).alias("any_pending"), F.coalesce(F.sum(F.col("last.undone")), F.lit(0)).alias("latest_undone"))
 

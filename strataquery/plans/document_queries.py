@@ -9,6 +9,7 @@ from strataquery.functions import columns as C
 from strataquery.functions import kernels as K
 from strataquery.operators import load as L
 from strataquery.operators import matching as M
+from strataquery.operators import projection
 from strataquery.operators import recall as R
 from strataquery.operators import resolve
 from strataquery.session import table
@@ -75,7 +76,7 @@ def valid_vectors(spark, d):
 
 
 def _hashed(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source", C.sha256_hex(F.col("text")).alias("content_hash"), F.col("n_chars").alias("size_bytes"))
+    return table(spark, d, "documents").select("doc_id", "source", C.sha256_hex(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
 def content_hash_duplicates(spark, d):
@@ -104,7 +105,56 @@ def classify_paths(spark, d):
 
 
 def move_copy_mint_classification(spark, d):
-    return M.moves_copies_mints(*_moved(spark, d)).select("path", "action", "entity_id")
+    return M.moves_copies_mints(*_moved(spark, d)).select("path", "action", "entity_id", "source_path")
+
+
+def _recased(spark, d):
+    """As _moved, where every third path comes back in upper case instead."""
+    h = _hashed(spark, d)
+    known = h.select(F.concat(F.lit("e"), _id()).alias("entity_id"), F.concat(F.lit("k/"), _id()).alias("path"), "content_hash", "size_bytes")
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("K/"), _id())).otherwise(F.concat(F.lit("k/"), F.lpad((F.col("doc_id") + 7).cast("string"), 12, "0")))
+    return h.select(path.alias("path"), "content_hash", "size_bytes").where(F.col("doc_id") % 5 != 4), known
+
+
+def moves_without_case(spark, d):
+    """The same classification where paths take no heed of case."""
+    return M.moves_copies_mints(*_recased(spark, d), fold=True).select("path", "action", "entity_id", "source_path")
+
+
+def resolve_exact_paths(spark, d):
+    """The ladder without likeness, with new contents beside what is known."""
+    disk, known = _moved(spark, d)
+    b = table(spark, d, "benchmark").select(F.explode(F.array(F.lit("n/"), F.lit("m/"))).alias("at"), "item_id", "text")
+    found = disk.unionByName(b.select(F.concat("at", _id("item_id")).alias("path"), C.sha256_hex(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes")))
+    return resolve.resolve(found, known).select("path", F.col("step").cast("long").alias("step"), "action", "entity_id", "source_path")
+
+
+def review_decisions(spark, d):
+    """Each label is a review of its document, decided by its quality; the placeholder is the document's double."""
+    h = _hashed(spark, d)
+    known = h.select(F.concat(F.lit("e"), _id()).alias("entity_id"), "content_hash", F.col("doc_id").alias("seq"), *[F.lit(None).cast("string").alias(c) for c in resolve.CARRIED])
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x")).join(h.select("doc_id", "content_hash", "size_bytes"), "doc_id")
+    reviews = labels.select(F.col("doc_id").alias("id"), F.concat(F.lit("e"), _id()).alias("candidate"), F.lit("p").alias("new_path"), "content_hash", "size_bytes", F.lit(0.6).alias("confidence"), F.concat(F.lit("e"), F.lpad((2 * F.col("doc_id")).cast("string"), 12, "0")).alias("minted_id"))
+    decisions = labels.select(F.col("doc_id").alias("id"), F.when(F.col("x") == 1, "skip").when(F.col("q") == 1, "accept").otherwise("reject").alias("decision"))
+    got = resolve.accept_reviews(reviews, decisions, known)
+    rows = got["outcomes"].select(F.col("id").cast("string").alias("id"), "outcome")
+    carried = got["carried"].select(F.col("entity_id").alias("id"), F.concat(F.lit("seq "), F.col("seq").cast("string")).alias("outcome"))
+    return rows.unionByName(carried).unionByName(got["retired"].select(F.col("entity_id").alias("id"), F.lit("retired").alias("outcome")))
+
+
+def provenance_edges(spark, d):
+    """Every document with its edge; those with a toxic label derive from the one before."""
+    edges = table(spark, d, "labels").where("toxic = 1").select(_id().alias("entity_id"), F.lpad((F.col("doc_id") - 1).cast("string"), 12, "0").alias("from_entity"), F.lit("f").alias("fork_content_hash")).distinct()
+    return projection.provenance(table(spark, d, "documents").select(_id().alias("entity_id")), edges)
+
+
+def snapshot_inherits(spark, d):
+    """What a snapshot of the labelled documents gives to all files; entities of good quality are there already."""
+    disk, entities = _inherit(spark, d)
+    told = {"title": F.concat(F.lit("t "), "entity_id"), "description": F.lit("d"), "concepts": F.array(F.lit("c")), "describe_model": F.lit("m"), "described_at": F.lit("")}
+    existing = table(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("e"), _id()).alias("entity_id")).distinct()
+    out = projection.inherit(disk, entities.withColumns(told), existing, "now")
+    return out.select("path", "entity_id", "title", "concepts", "minted", F.col("seq").cast("long").alias("seq"), "describe_status", "filename")
 
 
 def _inherit(spark, d):
@@ -188,7 +238,7 @@ def resolve_paths(spark, d):
     disk, known = _moved(spark, d)
     found = disk.withColumn("content", F.lit(None).cast("string")).unionByName(table(spark, d, "benchmark").select(F.concat(F.lit("n/"), _id("item_id")).alias("path"), C.sha256_hex(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").alias("content")))
     prints = _prints(spark, d, "documents", "doc_id").select(F.concat(F.lit("e"), F.substring("key", 2, 12)).alias("entity_id"), "fingerprint")
-    return resolve.resolve(found, known.join(prints, "entity_id")).select("path", F.col("step").cast("long").alias("step"), "action", "entity_id")
+    return resolve.resolve(found, known.join(prints, "entity_id"), resolve.by_likeness()).select("path", F.col("step").cast("long").alias("step"), "action", "entity_id")
 
 
 def redact_text(spark, d):
@@ -217,7 +267,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_search_ranked, lexical_search_escaped_meta, vector_top_k, vector_model_partition, hybrid_rrf, hydrated_scores, valid_vectors, content_hash_duplicates, hash_to_entities,
-        classify_paths, move_copy_mint_classification, bijective_inherit, inherit_split_semi_anti, bucket_counts, cost_estimate, resume_states, pack_batches, bag_jaccard_pairs,
+        classify_paths, move_copy_mint_classification, moves_without_case, resolve_exact_paths, review_decisions, provenance_edges, snapshot_inherits, bijective_inherit, inherit_split_semi_anti, bucket_counts, cost_estimate, resume_states, pack_batches, bag_jaccard_pairs,
         size_band_join, fingerprint_near_dups, fingerprints, resolve_paths, redact_text, lineage_depth, token_estimates, clamped_titles,
     )
 }
@@ -229,6 +279,7 @@ _Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE embed
 _E = "e AS (SELECT vec_id AS id, label, greatest(0, least(1, (1 + list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv)) / 2)) AS score FROM embeddings, q WHERE len(embedding) > 0)"
 _H = "h AS (SELECT doc_id, source, sha256(text) AS content_hash, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS pid, lpad(CAST(2 * doc_id AS VARCHAR), 12, '0') AS pid2 FROM documents)"
 _K = _H + ", k AS (SELECT 'e' || pid AS entity_id, 'k/' || pid AS path, content_hash FROM h), dk AS (SELECT 'k/' || pid2 AS path, content_hash FROM h)"
+_FIRST = "first_of AS (SELECT content_hash, entity_id, path FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY entity_id) AS o FROM k) WHERE o = 1)"
 _TOK = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}A-Za-z0-9_]+"
 _BUCKET = "CASE WHEN n_chars > 262144 THEN 'skip-too-large' WHEN contains(left(text, 8192), chr(0)) THEN 'skip-binary' WHEN n_chars <= 4096 THEN 'batch' ELSE 'solo' END"
 _FILES = f"f AS (SELECT doc_id, n_chars AS size_bytes, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tok, {_BUCKET} AS bucket FROM documents)"
@@ -246,11 +297,47 @@ SELECT id, arg_min(concepts, arm) AS concepts, round(sum(1.0::DOUBLE / (60 + r))
     "content_hash_duplicates": f"WITH {_H} SELECT content_hash, count(*) AS n, min(doc_id) AS first_doc FROM h GROUP BY 1 HAVING count(*) > 1",
     "hash_to_entities": f"WITH {_H} SELECT content_hash, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS entities, max(doc_id) AS last_entity FROM h GROUP BY 1",
     "classify_paths": f"WITH {_K} SELECT coalesce(dk.path, k.path) AS path, CASE WHEN k.path IS NULL THEN 'new' WHEN dk.path IS NULL THEN 'missing' WHEN k.content_hash = dk.content_hash THEN 'unchanged' ELSE 'changed' END AS state FROM dk FULL JOIN k ON dk.path = k.path",
-    "move_copy_mint_classification": f"""WITH {_K}, n AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS rn FROM dk WHERE path NOT IN (SELECT path FROM k)),
-g AS (SELECT entity_id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY entity_id) AS rn FROM k WHERE path NOT IN (SELECT path FROM dk)),
-m AS (SELECT content_hash, min(entity_id) AS source FROM k GROUP BY 1)
-SELECT n.path, CASE WHEN g.entity_id IS NOT NULL THEN 'move' WHEN m.source IS NOT NULL OR n.rn > 1 THEN 'copy' ELSE 'mint' END AS action, coalesce(g.entity_id, m.source) AS entity_id
-FROM n LEFT JOIN g ON n.content_hash = g.content_hash AND n.rn = g.rn LEFT JOIN m ON n.content_hash = m.content_hash""",
+    # by the rules: only the first entity of a hash counts; it moves once, if its own path is gone
+    "move_copy_mint_classification": f"""WITH {_K}, {_FIRST},
+n AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS rn FROM dk WHERE path NOT IN (SELECT path FROM k))
+SELECT n.path, CASE WHEN e.entity_id IS NULL THEN CASE WHEN rn = 1 THEN 'mint' ELSE 'copy' END WHEN e.path NOT IN (SELECT path FROM dk) AND rn = 1 THEN 'move' ELSE 'copy' END AS action, e.entity_id,
+  CASE WHEN e.entity_id IS NOT NULL AND (rn > 1 OR e.path IN (SELECT path FROM dk)) THEN e.path WHEN e.entity_id IS NULL AND rn > 1 THEN (SELECT min(path) FROM n y WHERE y.content_hash = n.content_hash) END AS source_path
+FROM n LEFT JOIN first_of e USING (content_hash)""",
+    "moves_without_case": f"""WITH {_H}, k AS (SELECT 'e' || pid AS entity_id, 'k/' || pid AS path, content_hash FROM h), {_FIRST},
+dk AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'K/' || pid ELSE 'k/' || lpad(CAST(doc_id + 7 AS VARCHAR), 12, '0') END AS path, content_hash FROM h WHERE doc_id % 5 <> 4),
+n AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS rn FROM dk WHERE path NOT IN (SELECT path FROM k)),
+x AS (SELECT n.*, e.entity_id, e.path AS own, lower(n.path) = lower(e.path) OR (rn = 1 AND lower(e.path) NOT IN (SELECT lower(path) FROM dk)) AS goes FROM n LEFT JOIN first_of e USING (content_hash))
+SELECT path, CASE WHEN entity_id IS NULL AND rn = 1 THEN 'mint' WHEN entity_id IS NOT NULL AND goes THEN 'move' ELSE 'copy' END AS action, entity_id,
+  CASE WHEN entity_id IS NULL AND rn > 1 THEN (SELECT min(path) FROM n y WHERE y.content_hash = x.content_hash) WHEN entity_id IS NOT NULL AND NOT goes THEN own END AS source_path FROM x""",
+    "resolve_exact_paths": f"""WITH {_K}, {_FIRST}, b AS (SELECT folder || lpad(CAST(item_id AS VARCHAR), 12, '0') AS path, sha256(text) AS content_hash FROM benchmark, (VALUES ('n/'), ('m/')) a(folder)),
+o AS (SELECT path, content_hash FROM dk UNION ALL SELECT path, content_hash FROM b),
+own AS (SELECT path, min(entity_id) AS entity_id, min(content_hash) AS h FROM k GROUP BY 1),
+n AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS rn FROM o WHERE path NOT IN (SELECT path FROM k)),
+x AS (SELECT n.*, e.entity_id, e.path AS src, rn = 1 AND e.path NOT IN (SELECT path FROM o) AS goes FROM n LEFT JOIN first_of e USING (content_hash))
+SELECT coalesce(o.path, own.path) AS path, CASE WHEN o.path IS NULL THEN 0 WHEN o.content_hash = own.h THEN 1 ELSE 2 END::BIGINT AS step,
+  CASE WHEN o.path IS NULL THEN 'missing' WHEN o.content_hash = own.h THEN 'unchanged' ELSE 'edit' END AS action, own.entity_id, CAST(NULL AS VARCHAR) AS source_path
+FROM own LEFT JOIN o ON o.path = own.path
+UNION ALL
+SELECT path, CASE WHEN entity_id IS NOT NULL AND goes THEN 3 ELSE 5 END, CASE WHEN entity_id IS NOT NULL AND goes THEN 'move' WHEN entity_id IS NULL AND rn = 1 THEN 'mint' ELSE 'copy' END, entity_id,
+  CASE WHEN entity_id IS NULL AND rn > 1 THEN (SELECT min(path) FROM n y WHERE y.content_hash = x.content_hash) WHEN entity_id IS NOT NULL AND NOT goes THEN src END FROM x""",
+    "review_decisions": f"""WITH {_H}, l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY 1),
+r AS (SELECT h.doc_id, CASE WHEN x = 1 THEN 'skipped' WHEN q <> 1 THEN 'rejected' WHEN m.content_hash <> h.content_hash THEN 'stale' ELSE 'carried' END AS outcome, m.doc_id AS minted
+  FROM l JOIN h USING (doc_id) LEFT JOIN h m ON m.doc_id = 2 * h.doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS id, outcome FROM r
+UNION ALL SELECT 'e' || lpad(CAST(doc_id AS VARCHAR), 12, '0'), 'seq ' || CAST(doc_id + 1 AS VARCHAR) FROM r WHERE outcome = 'carried'
+UNION ALL SELECT 'e' || lpad(CAST(minted AS VARCHAR), 12, '0'), 'retired' FROM r WHERE outcome = 'carried' AND minted <> doc_id""",
+    "provenance_edges": f"WITH {_H} SELECT pid AS entity_id, CASE WHEN t THEN lpad(CAST(doc_id - 1 AS VARCHAR), 12, '0') ELSE '' END AS from_entity, CASE WHEN t THEN 'f' ELSE '' END AS fork_content_hash FROM (SELECT *, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS t FROM h)",
+    "snapshot_inherits": f"""WITH {_H}, dk AS (SELECT 'k/' || pid AS path, pid, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY pid) AS rn FROM h),
+en AS (SELECT 'e' || pid AS entity_id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY pid) AS rn FROM h WHERE doc_id IN (SELECT doc_id FROM labels)),
+t AS (SELECT content_hash, min(entity_id) AS template FROM en GROUP BY 1)
+SELECT path, en.entity_id, 't ' || coalesce(en.entity_id, template) AS title, '["c"]' AS concepts, en.entity_id IS NULL AS minted, CAST(0 AS BIGINT) AS seq, 'pending' AS describe_status, pid AS filename
+FROM dk JOIN t USING (content_hash) LEFT JOIN en ON dk.content_hash = en.content_hash AND dk.rn = en.rn
+WHERE en.entity_id IS NULL OR en.entity_id NOT IN (SELECT 'e' || lpad(CAST(doc_id AS VARCHAR), 12, '0') FROM labels WHERE quality = 1)""",
+    "pack_batches": f"""WITH RECURSIVE {_FILES}, g AS (SELECT source, 'k/' || lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS path, size_bytes AS b, tok, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS rn FROM documents d JOIN f ON d.doc_id = f.doc_id WHERE bucket = 'batch'),
+r AS (SELECT source, path, rn, CAST(0 AS BIGINT) AS batch, 1 AS n, b AS size, tok AS tokens FROM g WHERE rn = 1
+ UNION ALL SELECT g.source, g.path, g.rn, r.batch + CAST(o AS INTEGER), CASE WHEN o THEN 1 ELSE n + 1 END, CASE WHEN o THEN b ELSE size + b END, CASE WHEN o THEN tok ELSE tokens + tok END
+ FROM r JOIN (SELECT * FROM g) g ON g.source = r.source AND g.rn = r.rn + 1, LATERAL (SELECT n + 1 > {L.PACK_FILES} OR size + b > {L.PACK_BYTES} OR tokens + tok > {L.PACK_TOKENS} AS o))
+SELECT source, path, batch FROM r""",
     "bijective_inherit": f"""WITH {_H}, dk AS (SELECT 'k/' || pid AS path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY pid) AS rn FROM h),
 en AS (SELECT 'e' || pid AS entity_id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY pid) AS rn FROM h WHERE doc_id IN (SELECT doc_id FROM labels)),
 t AS (SELECT content_hash, min(entity_id) AS template FROM en GROUP BY 1)

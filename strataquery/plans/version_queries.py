@@ -135,12 +135,46 @@ def event_counters(spark, d):
 
 
 def orphans_both_ways(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    """A third of the customers isn't there, and a fifth of their orders neither."""
+    c, o = table(spark, d, "customer").where("c_custkey % 3 <> 0"), table(spark, d, "orders").where("o_custkey % 5 <> 0")
     ids, own = c.select(F.col("c_custkey").alias("entity_id")), o.select(F.col("o_custkey").alias("entity_id"), "o_orderkey")
     a = resolve.orphan_identities(ids, own).select(F.lit("identity").alias("kind"), F.col("entity_id").alias("id"))
     return a.unionByName(resolve.orphan_versions(ids, own).select(F.lit("version").alias("kind"), F.col("o_orderkey").alias("id")))
 
 
+def repair_findings(spark, d):
+    """What each check of the sweep finds, and what is left: users of even ids have no identity, some identities no version."""
+    v = _twice(spark, d)
+    ids = _identities(spark, d).where("entity_id % 2 = 1").unionByName(v.select((-F.col("entity_id") - 1).alias("entity_id"), F.lit(0).cast("long").alias("last_update_date")).distinct())
+    found = resolve.repair_sweep(ids, v)
+    out = None
+    for kind, df in found.items():
+        row = df.agg(F.count("*").alias("n"), F.sum("entity_id").alias("ids")).withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out.select("kind", "n", "ids")
+
+
+def allocated_seqs(spark, d):
+    """Purchases come after all other events of their user."""
+    v = derived(spark, d)
+    new = v.where("describe_status = 'described'").select("entity_id", "observed_at", "content_hash", "path")
+    return V.allocate_seq(new, v.where("describe_status <> 'described'")).select("entity_id", "observed_at", "content_hash", "path", F.col("seq").cast("long").alias("seq"))
+
+
+def reembed_requeue(spark, d):
+    v = V.latest(derived(spark, d)).withColumns({"embedding": F.array(F.lit(1.0)).cast("array<float>"), "embed_model": F.lit("m")})
+    return enrich.requeue_reembed(v.withColumn("observed_at", F.col("observed_at").cast("string")), "now").select("entity_id", "seq", "describe_status", F.size("embedding").isNull().alias("without_vector"), "observed_at")
+
+
+def unchanged_files(spark, d):
+    """Each user is a file; its last version has the last event's time, and the disk that of its last click."""
+    v = derived(spark, d)
+    seen = v.where("describe_status = 'pending'").groupBy("entity_id").agg(F.max("observed_at").alias("mtime"))
+    disk = seen.select(F.col("entity_id").alias("path"), F.lit(1).alias("size_bytes"), "mtime")
+    known = V.latest(v).select(F.col("entity_id").alias("path"), F.lit(1).alias("size_bytes"), F.col("observed_at").alias("mtime_observed"))
+    return V.unchanged_by_stat(disk, known).select("path", "mtime")
+
+
 def identities_with_latest(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("seq"), "o_orderstatus")
@@ -221,7 +255,7 @@ QUERIES = {
     for f in (
         latest_per_entity, latest_self_join, latest_filtered_status, latest_is_pending_queue, queue_depth_any_vs_latest, status_histogram_zero_filled, next_seq,
         prior_matching_version, latest_then_filter_by_value, ever_had_value, described_overlay, duplicate_seqs, duplicate_seq_repair, duplicate_path_survivor, stale_touch_repair,
-        touched, superseded, deleted_entities, log_rotation, event_counters, orphans_both_ways, identities_with_latest, prune_candidates, review_upsert, projection_snapshot, session_debounce,
+        repair_findings, allocated_seqs, reembed_requeue, unchanged_files, touched, superseded, deleted_entities, log_rotation, event_counters, orphans_both_ways, identities_with_latest, prune_candidates, review_upsert, projection_snapshot, session_debounce,
         max_wait_cap, resync_needed, failure_runs, cycle_stats, usage_cost, reembed_candidates, redescribe_reset,
     )
 }
@@ -251,7 +285,28 @@ ORACLE_SQL = {
     "deleted_entities": f"{_WL} SELECT entity_id, count(*) AS n FROM v WHERE entity_id NOT IN (SELECT entity_id FROM l WHERE describe_status = 'failed') GROUP BY 1",
     "log_rotation": f"{_W} SELECT observed_at // 1000 AS ts, event_id FROM v WHERE observed_at // 1000 >= (SELECT max(observed_at // 1000) FROM v) - 86400000",
     "event_counters": "SELECT event_type AS metric, count(*) AS n FROM events GROUP BY 1",
-    "orphans_both_ways": "SELECT 'identity' AS kind, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'version', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "orphans_both_ways": "WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT * FROM orders WHERE o_custkey % 5 <> 0) SELECT 'identity' AS kind, c_custkey AS id FROM c WHERE c_custkey NOT IN (SELECT o_custkey FROM o) UNION ALL SELECT 'version', o_orderkey FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)",
+    "repair_findings": f"""{_TWICE}, i AS (SELECT entity_id, min(observed_at) AS last_update_date FROM v GROUP BY 1 HAVING entity_id % 2 = 1 UNION ALL SELECT DISTINCT -entity_id - 1, CAST(0 AS BIGINT) FROM t),
+ki AS (SELECT * FROM i WHERE entity_id IN (SELECT entity_id FROM t)), kv AS (SELECT * FROM t WHERE entity_id IN (SELECT entity_id FROM i)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, seq ORDER BY observed_at DESC, content_hash DESC, path DESC, describe_status DESC) AS r FROM kv) WHERE r = 1),
+st AS (SELECT ki.entity_id FROM ki JOIN (SELECT entity_id, max(observed_at) AS m FROM one GROUP BY 1) x USING (entity_id) WHERE m > last_update_date),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq DESC) AS q FROM one) WHERE q = 1),
+dp AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY observed_at DESC, entity_id) AS s FROM (SELECT *, count(*) OVER (PARTITION BY path) AS c FROM la) WHERE c > 1),
+ds AS (SELECT entity_id, seq FROM (SELECT entity_id, seq, count(*) AS n, max(seq) OVER (PARTITION BY entity_id) AS m FROM kv GROUP BY 1, 2) WHERE seq = m AND n > 1)
+SELECT 'orphan_identities' AS kind, count(*) AS n, CAST(sum(entity_id) AS BIGINT) AS ids FROM i WHERE entity_id NOT IN (SELECT entity_id FROM t)
+UNION ALL SELECT 'orphan_versions', count(*), CAST(sum(entity_id) AS BIGINT) FROM t WHERE entity_id NOT IN (SELECT entity_id FROM i)
+UNION ALL SELECT 'duplicate_seqs', count(*), CAST(sum(entity_id) AS BIGINT) FROM ds
+UNION ALL SELECT 'stale', count(*), CAST(sum(entity_id) AS BIGINT) FROM st
+UNION ALL SELECT 'duplicate_paths', count(*), CAST(sum(entity_id) AS BIGINT) FROM dp
+UNION ALL SELECT 'identities', count(*), CAST(sum(entity_id) AS BIGINT) FROM ki WHERE entity_id NOT IN (SELECT entity_id FROM dp WHERE s > 1)
+UNION ALL SELECT 'versions', count(*), CAST(sum(entity_id) AS BIGINT) FROM one WHERE entity_id NOT IN (SELECT entity_id FROM dp WHERE s > 1)""",
+    "allocated_seqs": f"{_W} SELECT v.entity_id, observed_at, content_hash, path, coalesce(m + 1, 0) + row_number() OVER (PARTITION BY v.entity_id ORDER BY observed_at, content_hash, path) - 1 AS seq FROM v LEFT JOIN (SELECT entity_id, max(seq) AS m FROM v WHERE describe_status <> 'described' GROUP BY 1) x ON v.entity_id = x.entity_id WHERE describe_status = 'described'",
+    "reembed_requeue": f"{_WL} SELECT entity_id, seq + 1 AS seq, 'pending' AS describe_status, true AS without_vector, 'now' AS observed_at FROM l WHERE describe_status = 'described'",
+    "unchanged_files": f"{_WL} SELECT l.entity_id AS path, observed_at AS mtime FROM l JOIN (SELECT entity_id, max(observed_at) AS m FROM v WHERE describe_status = 'pending' GROUP BY 1) x ON l.entity_id = x.entity_id AND l.observed_at = x.m",
+    "max_wait_cap": f"""WITH RECURSIVE {V_SQL}, e AS (SELECT entity_id, observed_at // 1000 AS t, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at // 1000) AS rn FROM v),
+r AS (SELECT entity_id, rn, t, t AS first FROM e WHERE rn = 1
+ UNION ALL SELECT e.entity_id, e.rn, e.t, CASE WHEN e.t - r.t > 21600000 OR e.t - r.first > 86400000 THEN e.t ELSE r.first END FROM r JOIN e ON e.entity_id = r.entity_id AND e.rn = r.rn + 1)
+SELECT entity_id AS path, least(max(t) + 21600000, first + 86400000) AS fired_ms, count(*) AS n FROM r GROUP BY entity_id, first""",
     "identities_with_latest": "SELECT c_custkey AS entity_id, c_name, o_orderkey AS seq, o_orderstatus FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) ON c_custkey = o_custkey AND rn = 1",
     "prune_candidates": f"{_WL} SELECT path, entity_id FROM l WHERE path NOT IN (SELECT path FROM v WHERE describe_status = 'pending' AND value > 100) AND ((SELECT max(observed_at) FROM v) + 60 * 86400000000) // 1000000 - observed_at // 1000000 > 30 * 86400",
     "review_upsert": f"{_W} SELECT sha256(CAST(entity_id AS VARCHAR) || '|' || path) AS id, CAST(entity_id AS VARCHAR) AS candidate, path AS new_path, observed_at AS created_at, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, path ORDER BY (describe_status = 'described') DESC, observed_at DESC, content_hash DESC) AS rn FROM v) WHERE rn = 1",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strataquery.operators.paths import IGNORED_SEGMENTS
+from strataquery.operators.paths import IGNORED_SEGMENTS, without_ignored, without_rules
 from strataquery.schemas import REVIEWS, conform, struct
 
 FILE = "path string, size_bytes long, mtime string, content binary"
@@ -100,15 +100,41 @@ def stored_files(spark: SparkSession, url: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^.*?" + "".join("\\" + c if not c.isalnum() else c for c in base.split("://")[-1]) + "/", "").alias("path"), F.col("length").alias("size_bytes"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), "content")
 
 
-def discover(spark: SparkSession, root: str, policy: str = "warn", run: Callable = subprocess.run) -> tuple[DataFrame, str | None]:
-    """(files, why degraded): version control's list if there is one, else a walk. An error of it aborts under policy abort."""
+def discover(spark: SparkSession, root: str, policy: str = "warn", run: Callable = subprocess.run, prefixes: list[str] | None = None, rules: dict[str, str] | None = None, contents: bool = True) -> tuple[DataFrame, str | None]:
+    """(files, why degraded): version control's list if there is one, else a walk. An error of it aborts under policy abort.
+
+    prefixes and rules (directory -> text of an ignore file) hold for a walk; prefixes and the directories that are
+    always ignored hold for a listing too. Files are chosen by their paths first; contents are read of those alone.
+    """
     listed, state = tracked_paths(root, run)
     if state == "error" and policy == "abort":
         raise RuntimeError("version control failed")
-    files = walk(spark, root)
     if listed is None:
-        return files, None if state == "absent" else "version-control-error"
-    return files.join(spark.createDataFrame([(p,) for p in listed], "path string").distinct(), "path", "left_semi"), None
+        files = walk(spark, root, contents=False)
+        if rules:
+            files = without_rules(files, rules)
+    else:
+        files = walk(spark, root, contents=False).join(spark.createDataFrame([(p,) for p in listed], "path string").distinct(), "path", "left_semi")
+    files = without_ignored(files, prefixes or [])
+    why = "version-control-error" if listed is None and state != "absent" else None
+    return (with_contents(files, root) if contents else files), why
+
+
+def with_contents(files: DataFrame, root: str) -> DataFrame:
+    """Files with what they hold now; those that have gone meanwhile are left out."""
+
+    def run(batches):
+        for pdf in batches:
+            held = []
+            for p in pdf["path"]:
+                try:
+                    with open(os.path.join(root, p), "rb") as f:
+                        held.append(f.read())
+                except OSError:
+                    held.append(None)
+            yield pdf.assign(content=held)[[x is not None for x in held]]
+
+    return files.mapInPandas(run, files.schema)
 
 
 def _json(path: str) -> object:

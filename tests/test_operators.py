@@ -66,9 +66,9 @@ def known_rows(spark, rows):
 
 def sequential_ladder(observed, known):
     """The ladder one file at a time, in order of paths."""
-    at, by_hash = {k[1]: k for k in known}, {}
+    at, first = {k[1]: k for k in known}, {}
     for k in sorted(known):
-        by_hash.setdefault(k[2], []).append(k)
+        first.setdefault(k[2], k)
     disk = {o[0] for o in observed}
     gone = {k[0]: k for k in known if k[1] not in disk}
     out, minted = {}, set()
@@ -77,12 +77,10 @@ def sequential_ladder(observed, known):
             out[path] = ("unchanged" if at[path][2] == h else "edit", at[path][0])
     fresh = sorted(o for o in observed if o[0] not in at)
     for path, h, _size, content in fresh:
-        same = [k for k in by_hash.get(h, []) if k[0] in gone]
-        if same:
-            out[path] = ("move", same[0][0])
-            del gone[same[0][0]]
-        elif h in by_hash:
-            out[path] = ("copy", by_hash[h][0][0])
+        if h in first:
+            # the first entity of the hash, and no other: carried if its path is gone, after which it is there again
+            out[path] = ("move" if first[h][0] in gone else "copy", first[h][0])
+            gone.pop(first[h][0], None)
     for path, h, size, content in fresh:
         if path in out:
             continue
@@ -117,7 +115,7 @@ def test_ladder_against_one_at_a_time(spark, seed):
         c = contents[6 + j % 4]
         c = c[: 20 + j] + "zq" + c[20 + j :]
         observed.append((f"x/{j:02d}", f"f{j // 2}" if j > 5 else f"g{j}", len(c), c))
-    got = {r.path: (r.action, r.entity_id) for r in resolve.resolve(spark.createDataFrame(observed, "path string, content_hash string, size_bytes long, content string"), known_rows(spark, known)).collect() if r.action != "missing"}
+    got = {r.path: (r.action, r.entity_id) for r in resolve.resolve(spark.createDataFrame(observed, "path string, content_hash string, size_bytes long, content string"), known_rows(spark, known), resolve.by_likeness()).collect() if r.action != "missing"}
     assert got == sequential_ladder(observed, known)
 
 
@@ -140,11 +138,49 @@ def test_repair_is_idempotent(spark):
     assert all(again[k].isEmpty() for k in ("orphan_identities", "orphan_versions", "duplicate_seqs", "stale", "duplicate_paths"))
 
 
+def test_only_the_first_entity_of_a_hash_moves_and_once(spark):
+    disk = lambda *rows: spark.createDataFrame(rows, "path string, content_hash string")
+    known = disk(("a", "h"), ("b", "h"), ("k", "i"), ("Foo", "j")).withColumn("entity_id", F.concat(F.lit("e"), "path"))
+    got = {r.path: (r.action, r.entity_id, r.source_path) for r in matching.moves_copies_mints(disk(("x", "h"), ("y", "h"), ("z", "new"), ("zz", "new"), ("foo", "j")), known).collect()}
+    assert got == {"x": ("move", "ea", None), "y": ("copy", "ea", "a"), "z": ("mint", None, None), "zz": ("copy", None, "z"), "foo": ("move", "eFoo", None)}
+    # the first one is still there: its copies copy it, though another entity's path is gone
+    got = {r.path: (r.action, r.entity_id) for r in matching.moves_copies_mints(disk(("a", "h"), ("x", "h")), known).collect()}
+    assert got == {"x": ("copy", "ea")}
+    # without case, another spelling is the same file; a copy elsewhere that sorts first stays a copy
+    folded = {r.path: (r.action, r.entity_id) for r in matching.moves_copies_mints(disk(("foo", "j"), ("a/c", "j")), known, fold=True).collect()}
+    assert folded == {"a/c": ("copy", "eFoo"), "foo": ("move", "eFoo")}
+    states = {r.path: r.state for r in matching.classify_paths(disk(("foo", "j"), ("K", "i"), ("n", "x")), known, fold=True).collect()}
+    assert states == {"foo": "changed", "K": "changed", "n": "new", "a": "missing", "b": "missing"}
+    steps = {r.path: r.action for r in resolve.resolve(disk(("foo", "j"), ("a", "h"), ("b", "h"), ("k", "i")), known, fold=True).collect()}
+    assert steps == {"foo": "move", "a": "unchanged", "b": "unchanged", "k": "unchanged"}
+
+
+def test_the_fuzzy_step_can_be_another(spark):
+    known = known_rows(spark, [("e1", "a", "h", 100, None)])
+    new = spark.createDataFrame([("b", "x", 100, "text")], "path string, content_hash string, size_bytes long, content string")
+    step = lambda files, gone: files.select("path").crossJoin(gone.select("entity_id")).withColumns({"distance": F.lit(3), "confidence": F.lit(0.9), "outcome": F.lit("match")})
+    assert {r.path: (r.step, r.action, r.entity_id) for r in resolve.resolve(new, known, step).collect()}["b"] == (4, "carry", "e1")
+
+
 def test_reviews(spark):
-    reviews = spark.createDataFrame([("1", "c1", "p1", "h1", "m1"), ("2", "c2", "p2", "h2", "m2"), ("3", "c3", "p3", "h3", "m3")], "id string, candidate string, new_path string, content_hash string, minted_id string")
-    known = spark.createDataFrame([("p1", "h1"), ("p2", "other"), ("p3", "h3")], "path string, content_hash string")
-    got = {r.id: (r.outcome, r.retire) for r in resolve.accept_reviews(reviews, spark.createDataFrame([("1", True), ("2", True), ("3", False)], "id string, accept boolean"), known).collect()}
-    assert got == {"1": ("carried", "m1"), "2": ("stale", None), "3": ("rejected", None)}
+    reviews = spark.createDataFrame([(i, f"c{i}", f"p{i}", f"h{i}", 5, 0.6, f"m{i}") for i in "123456"], "id string, candidate string, new_path string, content_hash string, size_bytes long, confidence double, minted_id string")
+    known = [("c1", "x"), ("c2", "x"), ("c3", "x"), ("c5", "x"), ("c6", "x"), ("m1", "h1"), ("m2", "other"), ("m3", "h3"), ("m4", "h4")]
+    known = spark.createDataFrame([version(entity_id=e, content_hash=h, seq=4) for e, h in known], VERSION)
+    decisions = [("1", "accept"), ("2", "accept"), ("3", "reject"), ("4", "accept"), ("5", "accept"), ("6", "skip")]
+    got = resolve.accept_reviews(reviews, spark.createDataFrame(decisions, "id string, decision string"), known)
+    # 2: the placeholder has other content by now; 4: the candidate is gone; 5: the placeholder never was
+    assert {r.id: r.outcome for r in got["outcomes"].collect()} == {"1": "carried", "2": "stale", "3": "rejected", "4": "stale", "5": "carried", "6": "skipped"}
+    assert {(r.entity_id, r.path, r.content_hash, r.seq, r.title, r.describe_status) for r in got["carried"].collect()} == {("c1", "p1", "h1", 5, "t", "pending"), ("c5", "p5", "h5", 5, "t", "pending")}
+    assert [r.entity_id for r in got["retired"].collect()] == ["m1"]
+
+
+def test_deletion_keeps_other_tenants_and_pruning_looks_again(spark):
+    rows = spark.createDataFrame([("e", "o", "w", "p"), ("e", "o", "w", "q"), ("f", "o", "w", "p")], "entity_id string, org_id string, workspace_id string, project_id string")
+    (left,) = resolve.delete_entities([rows], spark.createDataFrame([("e",)], "entity_id string"), ("o", "w", "p"))
+    assert sorted((r.entity_id, r.project_id) for r in left.collect()) == [("e", "q"), ("f", "p")]
+    last = spark.createDataFrame([("e", "a", "2020-01-01"), ("f", "b", "2020-01-01")], "entity_id string, path string, observed_at string")
+    disk = spark.createDataFrame([("a",)], "path string")
+    assert [r.entity_id for r in resolve.confirm_prune(last, last, disk, "2021-01-01").collect()] == ["f"]
 
 
 def version(**kw):
@@ -167,6 +203,7 @@ def test_recall_uses_the_last_described_version(spark):
     assert hits[0].rrf == pytest.approx(1 / 61 + 1 / 61) and hits[1].rrf == pytest.approx(1 / 62 + 1 / 62)
     assert [h.id for h in recall.recall(vs, "%", None).hits.collect()] == ["c"]
     assert [h.id for h in recall.recall(vs, "needle", [1.0, 0.0], 10, dim=2, active_model="m2").hits.collect()] == ["b", "a"]
+    assert [h.id for h in recall.recall(vs, "needle", [1.0, 0.0], 10, dim=2, active_model="m2").requeue.collect()] == ["a"]
     for q, v, why in (("", [1.0, 0.0], None), ("needle", [1.0], "wrong-dimension"), ("needle", None, "no-query-vector"), ("needle", [float("nan"), 0.0], "bad-query-vector")):
         r = recall.recall(vs, q, v, 10, dim=2)
         assert r.degraded and r.reason == why and r.hits.count() == (0 if not q else 2)

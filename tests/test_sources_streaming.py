@@ -126,6 +126,10 @@ def test_discovery_policies(spark, tmp_path):
 
     df, why = files.discover(spark, str(tmp_path), run=listed)
     assert sorted(r.path for r in df.collect()) == ["a.txt", "src/b.py"] and why is None
+    assert {r.path: bytes(r.content) for r in df.collect()}["a.txt"] == (tmp_path / "a.txt").read_bytes()
+    assert [r.path for r in files.discover(spark, str(tmp_path), run=listed, prefixes=["src"])[0].collect()] == ["a.txt"]
+    walked = files.discover(spark, str(tmp_path), run=absent, rules={"": "*.py"}, contents=False)[0]
+    assert "a.txt" in (paths := [r.path for r in walked.collect()]) and not any(p.endswith(".py") for p in paths)
     assert files.discover(spark, str(tmp_path), run=broken)[1] == "version-control-error"
     assert files.discover(spark, str(tmp_path), run=absent)[1] is None
     with pytest.raises(RuntimeError):
