@@ -209,18 +209,65 @@ def test_quality_query(spark, labels):
     assert (out[out.quality == 1].quality_pred == 1).mean() > 0.97
 
 
+def two_views(n, seed):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    a = np.c_[y + rng.normal(0, 0.3, n), np.ones(n)]
+    return a, np.c_[y + rng.normal(0, 0.3, n), rng.normal(0, 1, (n, 3)), np.ones(n)], y
+
+
 def test_cotraining_passes_labels_across_views():
-    """View b is labelled for few documents only through a; after the exchange it separates the pool."""
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 800)
-    a = np.c_[y + rng.normal(0, 0.3, 800), np.ones(800)]
-    b = np.c_[y + rng.normal(0, 0.3, 800), rng.normal(0, 1, (800, 3)), np.ones(800)]
-    known = np.where(np.arange(800) < 12, y, -1)
-    m = quality.train(a, b, known)
-    assert ((m.views[1].logit(b) > 0) == (y == 1)).mean() > 0.9
+    """View b has few labels of its own; what a tells of the others sets it right."""
+    a, b, y = two_views(800, 0)
+    m = quality.train(a[:12], b[:12], y[:12], lambda views: quality.told(views, a[12:], b[12:]))
+    alone = quality.Logistic().fit(b[:12], y[:12])
+    right = lambda v: ((v.logit(b) > 0) == (y == 1)).mean()
+    assert right(m.views[1]) > max(0.9, right(alone))
     assert ((m.score(a, b) > 0.5) == (y == 1)).mean() > 0.93
 
 
+def test_what_a_view_is_told_one_document_at_a_time():
+    """Sums against a loop over documents; a step against one over the documents themselves, each with its weight."""
+    a, b, y = two_views(300, 1)
+    views = quality.Logistic().fit(a[:20], y[:20]).weighed(a[:20], y[:20]), quality.Logistic().fit(b[:20], y[:20]).weighed(b[:20], y[:20])
+    sums = quality.told(views, a[20:], b[20:])
+    assert np.allclose(sums, quality.told(views, a[20:100], b[20:100]) + quality.told(views, a[100:], b[100:]))
+    stepped = quality.step(views, a[:20], b[:20], y[:20], sums)
+    for i, x in enumerate((a, b)):
+        v, other, taught = views[i], views[1 - i], []
+        for f, o in zip(x[20:], (b, a)[i][20:], strict=True):
+            p = 1 / (1 + math.exp(-float(other.slope * other.logit(o[None])[0] + other.offset)))
+            if p >= 0.95 or p <= 0.05:
+                taught.append((f, int(p > 0.5)))
+        assert 20 < len(taught)
+        loss_g, loss_h = v.slopes(x[:20], y[:20], bound=True)
+        for label in (0, 1):
+            n, known = sum(t == label for _, t in taught), int((y[:20] == label).sum())
+            for f, t in taught:
+                if t == label:
+                    z = (f - v.mean) / v.scale
+                    q = 1 / (1 + math.exp(-float(z @ v.w)))
+                    weight = min(1, known / n) * 0.5 / known * 20
+                    loss_g = loss_g + weight * (q - t) * z
+                    loss_h = loss_h + weight * 0.25 * np.outer(z, z)
+        assert np.allclose(stepped[i].w, v.w - np.linalg.solve(loss_h, loss_g), atol=1e-6)
+
+
+def test_cotraining_sees_every_other_document(spark):
+    """The fit on Spark against the same rounds over all documents in one array."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs.repartition(7), labels, per_class=40)
+    y = {r.doc_id: r.quality for r in labels.collect() if not is_held_out(r.doc_id)}
+    order = {r.id: r.h for r in docs.selectExpr("doc_id AS id", "xxhash64(doc_id) AS h").collect()}
+    picked = [i for v in (0, 1) for i in sorted((i for i in y if y[i] == v), key=lambda i: (order[i], i))[:40]]
+    rows = [r for r in docs.collect() if not is_held_out(r.doc_id)]
+    a, b = np.array([quality.content(r.text) for r in rows]), quality.spread([quality.metadata(r.source, r.lang, r.n_chars) for r in rows])
+    own = np.array([r.doc_id in set(picked) for r in rows])
+    at = sorted(np.flatnonzero(own), key=lambda i: rows[i].doc_id)
+    want = quality.train(a[at], b[at], np.array([y[rows[i].doc_id] for i in at]), lambda views: quality.told(views, a[~own].astype(np.float32).astype(float), b[~own]))
+    assert np.allclose(model.score(a, b), want.score(a, b), atol=1e-4)
+
+
 def test_quality_edges(spark, messy, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     out = quality.score(messy, labels)
