@@ -2,27 +2,31 @@
 
 Format. A file is a table of chunks (Spark writes it, so a lost task leaves nothing behind, and any
 store that Spark reaches will do). A chunk holds whole documents: their ids, their numbers of tokens, the tokens
-before it in its part, and a payload of blocks of at most ``BLOCK`` tokens. A
-block is a header (magic, tokens, bytes, crc32 of its ids as little-endian unsigned 32-bit numbers) and its
-code, and is coded from a fresh model, so that any block can be decoded alone; a wrong checksum raises.
-
-Model. The last id that followed the last two ids (order 2) and the last one (order 1), in this block, are the
-predictions. A token's symbol says that a prediction hit, or else the size class of the id, whose
-low bits follow in a uniform code. The symbol's probability is mixed from three adaptive
-counts, of order 0 and of the contexts of order 1 and 2, each with its own rate. A range
-coder with 16-bit output words codes it. Blocks are coded in lockstep, as numpy lanes: one step codes the
-next token of many blocks, so the work is vectorised though each block is sequential.
+before it in its part, and a payload: the chunk's id table, then blocks of at most ``BLOCK`` tokens. The
+table and each block have a header (magic, tokens, bytes, crc32) and a code. A block's crc32 is
+that of its ids as little-endian unsigned 32-bit numbers; a wrong checksum raises. Each block
+is coded from the same fresh model, so that with the chunk's table any block can be decoded alone.
+
+Model. The last id that followed the last two ids (order 2) and the last one (order 1), in this block, are
+predictions. Two distributions of ids come from the chunk's table: the counts of ids (order 0), and the
+counts of ids that follow an id of the last one's class (order 1, for pairs seen more than once; a class groups ids that are
+followed by alike ids). The four are mixed: a token's symbol says which of them gives it, and the id follows by the
+distribution, if it is one. Their weights are adaptive: a row for each state of the predictions' agreement, which
+moves to what was right in that state. A range coder with 31-bit output words codes
+symbol and id. Blocks are coded in lockstep, as numpy lanes: one step codes the next token of many
+blocks, so the work is vectorised though each block is sequential.
 
 Defined results: a null or empty text has the end id alone; documents with the same or no id stand side by
-side, nulls first, equal ids in the order of their texts' hashes; ids must be below 65,536; an empty table
-gives an empty file.
+side, nulls first, equal ids in the order of their texts' hashes; an id of 65,536 or more raises
+ValueError; an empty table gives an empty file.
 """
 
 from __future__ import annotations
 
 import struct
 from array import array
-from zlib import crc32
+from zlib import compress, crc32, decompress
+from zlib import error as ZlibError
 
 import numpy as np
 import pyarrow as pa
@@ -33,92 +37,234 @@ from pyspark.sql import functions as F
 from strataquery.llm.byte_bpe import LETTER, NUMBER, SPACE
 from strataquery.llm.common import stash, worker_state
 
-#: Tokens of a block, tokens after which a chunk ends, blocks coded in lockstep.
-BLOCK, CHUNK, LANES = 2048, 65_536, 2048
-MAGIC, HEADER = 0x53514231, struct.Struct("<IIII")
-CACHE_SIZE, CACHED_CHARS = 800_000, 48
-
-#: Symbols: hits of order 2 and 1, then 14 classes of ids: each of the first 2^FIRST ids' halves and so on upwards.
-SYMBOLS, HIT2, HIT1, FIRST = 16, 0, 1, 3
-_CLASS = np.maximum(np.frexp(np.arange(65536, dtype=np.float64))[1] - FIRST, 0).astype(np.int64) + 2
-_LOW_BITS = np.array([0, 0, FIRST, *range(FIRST, 16)], np.uint64)
-_BASE = np.array([0, 0, 0, *(1 << b for b in range(FIRST, 16))], np.int64)
-#: Rows of counts of order 1 and 2, entries of the predictions of order 1 and 2: powers of two.
-ROWS1, ROWS2, LAST1, LAST2 = 64, 256, 2048, 4096
-#: What a seen symbol adds to the counts (twice in order 2), and the mixed total from which a lane's rows are halved.
-RATE, LIMIT = 32, 16_000
-_FLOOR = np.arange(1, SYMBOLS + 1, dtype=np.uint16)
-_STEP = ((np.arange(SYMBOLS)[None, :] >= np.arange(SYMBOLS)[:, None]) * RATE).astype(np.uint16)
+#: Tokens of a block, blocks coded in lockstep; a chunk ends after BLOCK * LANES tokens.
+BLOCK, LANES = 2048, 4096
+MAGIC, HEADER = 0x53514232, struct.Struct("<IIII")
+#: Pieces of text that each of a worker's two caches holds, and the longest of them.
+CACHE_SIZE, CACHED_CHARS = 700_000, 48
+
+#: Symbols: hits of order 2 and 1, an id by the last one's class, an id by the counts alone; bits of the slots that a distribution's ids share out.
+SYMBOLS, HIT2, HIT1, CLASS, ALONE = 4, 0, 1, 2, 3
+CLASS_BITS, ALONE_BITS = 14, 16
+_BITS = np.array([0, 0, CLASS_BITS, ALONE_BITS], np.uint64)
+_SLOTS = (1 << _BITS.astype(np.int64)) - 1
+#: Classes at most (one for each CLASS_TOKENS of a chunk), states of the predictions' agreement, entries of the predictions of order 1 and 2 (powers of two).
+CLASSES, CLASS_TOKENS, STATES, LAST1, LAST2 = 16, 20_000, 4, 256, 1024
+#: A row's total and what a seen symbol takes of the rest (as a shift); what each symbol has besides, so that none is impossible.
+TOTAL, SHIFT, LEAST = 32512, 5, 64
+_TOTAL_BITS, _LAST = np.uint64(15), np.uint64(1 << 63)
 _BOT, _WORD, _MASK = np.uint64(1 << 31), np.uint64(31), np.uint64((1 << 31) - 1)
+_16, _FIELD, _EACH, _TOP = np.uint64(16), np.uint64(0xFFFF), np.uint64(0x0001000100010000), np.uint64(0x8000800080000000)
+
+
+def _packed(sums: list[int]) -> np.uint64:
+    """What stands before each symbol, as four fields of 16 bits in one number; the first is 0."""
+    return np.uint64(sum(x << 16 * (i + 1) for i, x in enumerate(sums[:3])))
+
+
+#: The least shares, what a seen symbol adds, and the bits that a shifted row's fields keep.
+_FLOOR, _SEEN, _KEEP = _packed([LEAST, 2 * LEAST, 3 * LEAST]), np.array([_packed([(TOTAL >> SHIFT) * (j >= x) for j in range(3)]) for x in range(SYMBOLS)]), np.uint64(0x07FF07FF07FF0000)
+#: Buckets of following ids that tell classes apart, rounds of grouping, tokens from one that is looked at to the next, tokens counted at a time.
+FEATURES, GROUPINGS, SKIP, PIECE = 64, 6, 4, 1 << 18
+#: Steps that the encoder looks ahead.
+AHEAD = 32
+#: What rows start with, by the state: shares of the symbols in sixtieths.
+_START = np.array([_packed([sum(x[: i + 1]) * TOTAL // 60 for i in range(3)]) for x in ((2, 16, 38, 4), (16, 12, 30, 2), (2, 2, 48, 8), (30, 2, 26, 2))])
+
+
+def _levels() -> np.ndarray:
+    """The counts that a table can hold: 1, 2, ... and from there on steps of an eighth."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 9 // 8))
+    return np.array(out)
+
+
+_LEVELS = _levels()
+
+
+class Table:
+    """A chunk's ids: places 1 to n in ascending order, their classes, and their shares in each distribution.
+
+    low and size have a row for each class and one for the counts alone, and a last entry for hits.
+    """
+
+    def __init__(self, ids: np.ndarray, group: np.ndarray, level: np.ndarray, pairs: np.ndarray, pair_level: np.ndarray):
+        self.packed = ids, group, level, pairs, pair_level
+        n = len(ids)
+        self.width = n + 1
+        self.kind = np.uint16 if self.width <= 65536 else np.uint32  # of places
+        self.ids, self.group = np.append(0, ids).astype(np.uint16), np.append(0, group).astype(np.int64)
+        self.low, self.size = (np.zeros((CLASSES + 1) * self.width + 1, np.uint64) for _ in range(2))
+        self.size[-1] = 1
+        self.by_slot = np.zeros((CLASSES << CLASS_BITS) + (1 << ALONE_BITS) + 1, self.kind)
+        self._share(CLASSES, np.arange(1, n + 1), _LEVELS[level], ALONE_BITS)
+        row, at = np.divmod(pairs, self.width)
+        for g in range(CLASSES):
+            own = row == g
+            self._share(g, at[own], _LEVELS[pair_level[own]], CLASS_BITS)
+
+    def _share(self, row: int, at: np.ndarray, count: np.ndarray, bits: int) -> None:
+        if len(at):
+            share = 1 + count * ((1 << bits) - len(at)) // count.sum()
+            share[np.argmax(count)] += (1 << bits) - share.sum()
+            self.size[row * self.width + at] = share
+            self.low[row * self.width + at] = np.cumsum(share) - share
+            first = row << CLASS_BITS
+            self.by_slot[first : first + (1 << bits)] = np.repeat(at, share)
+
+    @staticmethod
+    def of(tokens: np.ndarray) -> Table:
+        """From all of a chunk's tokens; for the grouping alone, which changes no id, every SKIP-th one and what follows it do."""
+        if not len(tokens):
+            return Table(*(np.empty(0, t) for t in (np.uint16, np.uint8, np.uint8, np.int64, np.uint8)))
+        count = np.bincount(tokens, minlength=65536)
+        ids = np.flatnonzero(count)
+        index = np.zeros(65536, np.int64)
+        index[ids] = np.arange(len(ids))
+        n = count[ids]
+        # what follows an id, in buckets of which the commonest ids have one each
+        order = np.argsort(-n, kind="stable")
+        bucket = np.zeros(len(ids), np.int64)
+        bucket[order] = np.arange(len(ids)) % FEATURES
+        last = len(tokens) - 1
+        seen = np.bincount(index[tokens[:last:SKIP]] * FEATURES + bucket[index[tokens[1::SKIP]]], minlength=len(ids) * FEATURES).reshape(-1, FEATURES)
+        like = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
+        centre = like[order[: min(CLASSES, 1 + len(tokens) // CLASS_TOKENS)]]
+        for _ in range(GROUPINGS):
+            group = np.argmin((centre**2).sum(axis=1) - 2 * like @ centre.T, axis=1)
+            for g in range(len(centre)):
+                own = group == g
+                if own.any():
+                    centre[g] = n[own] @ like[own] / n[own].sum()
+        width = len(ids) + 1
+        base, place = np.zeros(65536, np.int64), index + 1
+        base[ids] = group * width
+        follow = np.zeros(CLASSES * width, np.int64)
+        for i in range(0, last, PIECE):
+            x = tokens[i : min(last, i + PIECE) + 1].astype(np.intp)
+            follow += np.bincount(base.take(x[:-1]) + place.take(x[1:]), minlength=CLASSES * width)
+        pairs = np.flatnonzero(follow > 1)
+        # a distribution has ids for half its slots at most
+        most = 1 << CLASS_BITS - 1
+        row = pairs // width
+        if len(pairs) > most and np.bincount(row).max() > most:
+            by = np.lexsort((-follow[pairs], row))
+            place = np.arange(len(by)) - np.searchsorted(row[by], row[by])
+            pairs = np.sort(pairs[by[place < most]])
+        at = lambda c: (np.searchsorted(_LEVELS, c, "right") - 1).astype(np.uint8)
+        return Table(ids.astype(np.uint16), group.astype(np.uint8), at(n), pairs, at(follow[pairs]))
+
+    def pack(self) -> bytes:
+        ids, group, level, pairs, pair_level = self.packed
+        step = np.diff(pairs, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+        raw = np.diff(ids, prepend=np.uint16(0)).astype("<u2").tobytes() + group.tobytes() + level.tobytes() + step.T.tobytes() + pair_level.tobytes()
+        code = compress(raw, 6)
+        return HEADER.pack(MAGIC, len(ids), len(code), crc32(raw)) + code
+
+    @staticmethod
+    def unpack(data: bytes) -> tuple[Table, int]:
+        """The table at the start of a payload, and where it ends."""
+        n, size, crc = _header(data, 0)
+        end = HEADER.size + size
+        try:
+            raw = decompress(data[HEADER.size : end])
+        except ZlibError as e:
+            raise ValueError("a table's checksum is wrong") from e
+        m, rest = divmod(len(raw) - 4 * n, 5)
+        if crc32(raw) != crc or m < 0 or rest:
+            raise ValueError("a table's checksum is wrong")
+        ids = np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.uint16)
+        part = lambda at, k: np.frombuffer(raw, np.uint8, k, at)
+        step = np.ascontiguousarray(part(4 * n, 4 * m).reshape(4, m).T).view("<u4").ravel()
+        return Table(ids, part(2 * n, n), part(3 * n, n), np.cumsum(step, dtype=np.int64), part(4 * n + 4 * m, m)), end
+
+
+def _header(data: bytes, i: int) -> tuple[int, int, int]:
+    if i + HEADER.size > len(data):
+        raise ValueError("not a block of tokens")
+    magic, n, size, crc = HEADER.unpack_from(data, i)
+    if magic != MAGIC:
+        raise ValueError("not a block of tokens")
+    return n, size, crc
 
 
 class _Model:
-    """Counts and predictions of each lane; lanes are the first k at every step.
+    """Rows and predictions of each lane; lanes are the first k at every step, ids are their places in the table.
 
-    A row of counts holds the running sum up to each symbol, so rows of several orders add up to the mixed one.
+    A row is one number that holds what stands before each symbol (see _packed); with the least shares its total is 2 ** 15.
     """
 
-    def __init__(self, lanes: int):
-        self.counts = [np.zeros((lanes * n, SYMBOLS), np.uint16) for n in (1, ROWS1, ROWS2)]
-        self.last1, self.last2 = np.zeros(lanes * LAST1, np.uint16), np.zeros(lanes * LAST2, np.uint16)
+    def __init__(self, lanes: int, table: Table):
+        self.group = table.group
+        self.rows = np.tile(_START, lanes)
+        self.last1, self.last2 = np.zeros(lanes * LAST1, table.kind), np.zeros(lanes * LAST2, table.kind)
         lane = np.arange(lanes)
-        self.at1, self.at2, self.to1, self.to2 = lane * ROWS1, lane * ROWS2, lane * LAST1, lane * LAST2
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.at, self.to1, self.to2 = lane * STATES, lane * LAST1, lane * LAST2
+        self.prev, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def look(self, k: int) -> np.ndarray:
-        """Mixed running sums of the symbols, k x 16."""
-        a, b = self.prev1[:k], self.prev2[:k]
-        h1 = a * 40503
-        h2 = (h1 + b * 30011) * 2654435761
-        h2 ^= h2 >> 17
-        self.row1, self.row2 = self.at1[:k] + (h1 >> 5 & ROWS1 - 1), self.at2[:k] + (h2 >> 13 & ROWS2 - 1)
-        self.slot1, self.slot2 = self.to1[:k] + (h1 & LAST1 - 1), self.to2[:k] + (h2 & LAST2 - 1)
-        self.guess1, self.guess2 = self.last1.take(self.slot1), self.last2.take(self.slot2)
-        self.seen1, self.seen2 = self.counts[1].take(self.row1, axis=0), self.counts[2].take(self.row2, axis=0)
-        mixed = self.seen1 + self.seen2
-        mixed += self.counts[0][:k]
-        mixed += _FLOOR
-        return mixed
-
-    def learn(self, k: int, symbol: np.ndarray, ids: np.ndarray, total: np.ndarray) -> None:
-        """total: the mixed counts' last column."""
-        step = _STEP.take(symbol, axis=0)
-        own = self.counts[0][:k]
-        own += step
-        self.seen1 += step
-        self.seen2 += step
-        self.seen2 += step
-        if int(total.max()) > LIMIT:
-            full = total > LIMIT
-            own[full] >>= 1
-            self.seen1[full] >>= 1
-            self.seen2[full] >>= 1
-        self.counts[1][self.row1] = self.seen1
-        self.counts[2][self.row2] = self.seen2
+        """What stands before each symbol."""
+        prev = self.prev[:k]
+        h = prev * 40503
+        self.slot1 = h & LAST1 - 1
+        self.slot1 += self.to1[:k]
+        h ^= self.mixed[:k]
+        h >>= 7
+        h &= LAST2 - 1
+        h += self.to2[:k]
+        self.slot2 = h
+        self.guess1, self.guess2 = self.last1.take(self.slot1), self.last2.take(h)
+        # the state: the predictions are alike, and order 2 has one
+        state = (self.guess1 == self.guess2).view(np.int8)
+        state += state
+        state += (self.guess2 > 0).view(np.int8)
+        self.cls = self.group.take(prev)
+        self.row = self.at[:k] + state
+        self.seen = self.rows.take(self.row)
+        return self.seen + _FLOOR
+
+    def learn(self, k: int, symbol: np.ndarray, ids: np.ndarray) -> None:
+        seen = self.seen
+        step = seen >> np.uint64(SHIFT)
+        step &= _KEEP
+        seen -= step
+        seen += _SEEN.take(symbol)
+        self.rows[self.row] = seen
         self.last1[self.slot1] = ids
         self.last2[self.slot2] = ids
-        self.prev2[:k] = self.prev1[:k]
-        self.prev1[:k] = ids
-
-
-def _edges(cum: np.ndarray, symbol: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a symbol's share of the sums starts, and its size."""
-    flat = cum.ravel()
-    at = rows + symbol
-    lo = np.where(symbol > 0, flat.take(np.maximum(at - 1, 0)), 0).astype(np.uint64)
-    return lo, flat.take(at).astype(np.uint64) - lo
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (below 65,536) as header and code."""
+        prev = self.prev[:k]
+        np.multiply(prev, 2654435761, out=self.mixed[:k])
+        prev[:] = ids
+
+
+def _edges(row: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a symbol's share starts, and its size."""
+    shift = symbol.astype(np.uint64)
+    shift <<= np.uint64(4)
+    lo = row >> shift
+    lo &= _FIELD
+    after = row >> _16
+    after |= _LAST
+    after >>= shift
+    after &= _FIELD
+    after -= lo
+    return lo, after
+
+
+def encode_blocks(blocks: list[np.ndarray]) -> bytes:
+    """A payload: the blocks' table, then each block of ids (below 65,536) as header and code."""
+    if not blocks:
+        return b""
+    table = Table.of(np.concatenate(blocks))
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for s in range(0, len(order), LANES):
         some = order[s : s + LANES]
-        for i, code in zip(some, _encode([blocks[i] for i in some]), strict=True):
+        for i, code in zip(some, _encode([blocks[i] for i in some], table), strict=True):
             ids = blocks[i]
             out[i] = HEADER.pack(MAGIC, len(ids), len(code), crc32(ids.astype("<u4").tobytes())) + code
-    return out
+    return table.pack() + b"".join(out)
 
 
 def _active(sizes: np.ndarray) -> list[int]:
@@ -127,36 +273,51 @@ def _active(sizes: np.ndarray) -> list[int]:
     return np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
 
 
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     n = len(blocks)
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((int(sizes[0]) if n else 0, n), np.uint16)
+    index = np.zeros(65536, table.kind)
+    index[table.ids[1:]] = np.arange(1, table.width)
+    ids = np.zeros((int(sizes[0]) if n else 0, n), table.kind)
     for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    model = _Model(n)
+        ids[: len(b), i] = index[b]
+    model = _Model(n, table)
     low, span, at = np.zeros(n, np.uint64), np.full(n, 1 << 62, np.uint64), np.zeros(n, np.int64)
     words = np.zeros((n, len(ids) + 8), np.uint32)
-    lane, row = np.arange(n), np.arange(n) * SYMBOLS
-    for t, k in enumerate(_active(sizes)):
-        x = ids[t, :k]
-        cum = model.look(k)
-        total = cum[:, -1]
-        symbol = np.where(x == model.guess2, HIT2, np.where(x == model.guess1, HIT1, _CLASS.take(x)))
-        lo, size = _edges(cum, symbol, row[:k])
-        bits = _LOW_BITS.take(symbol)
-        unit = span[:k] // total
-        low[:k] += unit * lo
-        unit = unit * size >> bits
-        low[:k] += unit * np.where(bits > 0, x - _BASE.take(symbol), 0).astype(np.uint64)
-        span[:k] = unit
+    lane, hit, active, flat = np.arange(n), len(table.low) - 1, _active(sizes), words.ravel()
+    first = lane * words.shape[1]
+    before = np.zeros((1, n), table.kind)
+    for t, k in enumerate(active):
+        if t % AHEAD == 0:
+            # what depends on the ids alone, for some steps at once
+            ahead = ids[t : t + AHEAD, :k].astype(np.int64)
+            places = table.group.take(np.concatenate([before[:, :k], ids[t : t + AHEAD - 1, :k]])[: len(ahead)]) * table.width + ahead
+            rare = table.size.take(places) == 0
+            np.copyto(places, CLASSES * table.width + ahead, where=rare)
+            drawn = rare + CLASS
+            before = ids[t + AHEAD - 1 : t + AHEAD]
+        x, i = ids[t, :k], t % AHEAD
+        row = model.look(k)
+        symbol = np.where(x == model.guess2, HIT2, np.where(x == model.guess1, HIT1, drawn[i, :k]))
+        place = np.where(symbol < CLASS, hit, places[i, :k])
+        start, share = _edges(row, symbol)
+        unit, lo = span[:k], low[:k]
+        unit >>= _TOTAL_BITS
+        start *= unit
+        lo += start
+        unit *= share
+        unit >>= _BITS.take(symbol)
+        lo += unit * table.low.take(place)
+        unit *= table.size.take(place)
         small = np.flatnonzero(unit < _BOT)
         if len(small):
-            v = low[small]
-            words[small, at[small]] = v >> _WORD  # a 32nd bit is a carry
-            at[small] += 1
-            low[small] = (v & _MASK) << _WORD
-            span[small] <<= _WORD
-        model.learn(k, symbol, x, total)
+            v, w = low.take(small), at.take(small)
+            flat[first.take(small) + w] = v >> _WORD  # a 32nd bit is a carry
+            at[small] = w + 1
+            v &= _MASK
+            low[small] = v << _WORD
+            span[small] = span.take(small) << _WORD
+        model.learn(k, symbol, x)
     for half in (low >> _WORD, low & _MASK):
         words[lane, at] = half
         at += 1
@@ -166,69 +327,85 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     return [words[i, : at[i]].astype("<u4").tobytes() for i in range(n)]
 
 
-def decode_blocks(payloads: list[bytes]) -> list[list[np.ndarray]]:
-    """The blocks of each payload; raises ValueError for what isn't a block or has another checksum."""
-    found: list[tuple[int, int, int, bytes]] = []
-    for p, data in enumerate(payloads):
-        i = 0
-        while i < len(data):
-            magic, n, size, crc = HEADER.unpack_from(data, i)
-            if magic != MAGIC:
-                raise ValueError("not a block of tokens")
-            found.append((p, n, crc, data[i + HEADER.size : i + HEADER.size + size]))
-            i += HEADER.size + size
+def decode_blocks(data: bytes) -> list[np.ndarray]:
+    """The blocks of a payload; raises ValueError for what isn't one or has another checksum."""
+    if not data:
+        return []
+    table, i = Table.unpack(data)
+    found: list[tuple[int, int, bytes]] = []
+    while i < len(data):
+        n, size, crc = _header(data, i)
+        found.append((n, crc, data[i + HEADER.size : i + HEADER.size + size]))
+        i += HEADER.size + size
     out: list = [None] * len(found)
-    order = sorted(range(len(found)), key=lambda i: -found[i][1])
+    order = sorted(range(len(found)), key=lambda i: -found[i][0])
     for s in range(0, len(order), LANES):
         some = order[s : s + LANES]
-        for i, ids in zip(some, _decode([found[i][3] for i in some], np.array([found[i][1] for i in some])), strict=True):
-            if crc32(ids.astype("<u4").tobytes()) != found[i][2]:
+        for i, ids in zip(some, _decode([found[i][2] for i in some], np.array([found[i][0] for i in some]), table), strict=True):
+            if crc32(ids.astype("<u4").tobytes()) != found[i][1]:
                 raise ValueError("a block's checksum is wrong")
             out[i] = ids
-    by: list[list[np.ndarray]] = [[] for _ in payloads]
-    for (p, *_), ids in zip(found, out, strict=True):
-        by[p].append(ids)
-    return by
+    return out
 
 
-def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+def _decode(codes: list[bytes], sizes: np.ndarray, table: Table) -> list[np.ndarray]:
     n = len(codes)
     words = np.zeros((n, max(map(len, codes), default=0) // 4 + 4), np.uint32)
     for i, c in enumerate(codes):
         words[i, : len(c) // 4] = np.frombuffer(c, "<u4", len(c) // 4)
-    ids = np.zeros((int(sizes[0]) if n else 0, n), np.uint16)
-    model = _Model(n)
+    ids = np.zeros((int(sizes[0]) if n else 0, n), table.kind)
+    model = _Model(n, table)
     code, span, at = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1], np.full(n, 1 << 62, np.uint64), np.full(n, 2)
-    row, end = np.arange(n) * SYMBOLS, words.shape[1] - 1
-    for t, k in enumerate(_active(sizes)):
-        cum = model.look(k)
-        total = cum[:, -1]
-        unit = span[:k] // total
-        v = np.minimum(code[:k] // unit, total - 1).astype(np.uint16)
-        below = np.bitwise_count((cum <= v[:, None]).view(np.uint64))
-        symbol = (below[:, 0] + below[:, 1]).astype(np.int64)
-        lo, size = _edges(cum, symbol, row[:k])
-        bits = _LOW_BITS.take(symbol)
-        left = code[:k] - unit * lo
-        unit = unit * size >> bits
-        rest = np.where(bits > 0, left // unit, np.uint64(0))
-        code[:k] = left - unit * rest
-        span[:k] = unit
-        small = np.flatnonzero(unit < _BOT)
-        if len(small):
-            code[small] = (code[small] << _WORD) | words[small, np.minimum(at[small], end)]  # a damaged block may run on
-            at[small] += 1
-            span[small] <<= _WORD
-        x = np.where(symbol == HIT2, model.guess2, np.where(symbol == HIT1, model.guess1, _BASE.take(symbol) + rest.astype(np.int64))).astype(np.uint16)
-        ids[t, :k] = x
-        model.learn(k, symbol, x, total)
-    return [ids[: sizes[i], i] for i in range(n)]
+    end, hit = words.shape[1] - 1, len(table.low) - 1
+    flat = words.ravel()
+    first = np.arange(n) * words.shape[1]
+    with np.errstate(divide="ignore"):  # nothing may be left of a damaged block's range
+        for t, k in enumerate(_active(sizes)):
+            held = model.look(k)
+            unit, own = span[:k], code[:k]
+            unit >>= _TOTAL_BITS
+            v = own // unit
+            v *= _EACH
+            v |= _TOP
+            v -= held
+            v &= _TOP
+            symbol = np.bitwise_count(v).astype(np.int64)
+            start, share = _edges(held, symbol)
+            start *= unit
+            own -= start
+            unit *= share
+            unit >>= _BITS.take(symbol)
+            drawn = symbol >= CLASS
+            slot = (own // unit).view(np.int64)
+            slot &= _SLOTS.take(symbol)  # a damaged block may go beyond
+            row = np.where(symbol == ALONE, CLASSES, model.cls)
+            slot += row << CLASS_BITS
+            x = table.by_slot.take(slot)
+            row *= table.width
+            row += x
+            place = np.where(drawn, row, hit)
+            x = np.where(drawn, x, np.where(symbol == HIT1, model.guess1, model.guess2))
+            own -= unit * table.low.take(place)
+            unit *= table.size.take(place)
+            small = np.flatnonzero(unit < _BOT)
+            if len(small):
+                w = at.take(small)
+                code[small] = (code.take(small) << _WORD) | flat.take(first.take(small) + np.minimum(w, end))  # a damaged block may run on
+                at[small] = w + 1
+                span[small] = span.take(small) << _WORD
+            ids[t, :k] = x
+            model.learn(k, symbol, x)
+    return [table.ids[ids[: sizes[i], i]] for i in range(n)]
 
 
 class Encoder:
-    """The tokenizers library's ids of whole texts; frequent pre-tokens are memoised.
+    """The tokenizers library's ids of whole texts; frequent pieces are memoised.
 
-    Texts with characters past U+00FF or a special token's string go to the library whole.
+    A text is cut before each single space or line break between visible characters. The library's own
+    pattern always cuts there too, so that the pieces' ids, one after the other, are the text's. A new piece of characters
+    up to U+00FF is cut further by the library's pattern, and its parts go to the library's model; other new
+    pieces go through the whole library. So do texts with other white space, with a space or a break at an end or next
+    to another, or with a special token's string.
     """
 
     def __init__(self, path: str):
@@ -239,35 +416,93 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.cache: dict[str, bytes] = {}
+        visible = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
+        #: The characters that stand for bytes in the model's vocabulary.
+        self.byte_chars = {c: c for c in visible} | {c: 256 + i for i, c in enumerate(sorted(set(range(256)) - set(visible)))}
+        #: Pieces, spaces before them left out, used lately and before; parts of pieces without a space before.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.marks = {c: self._part(c) for c in ".,;:!?"}
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint16)
+        # what can be printed has no white space but spaces
+        if not text.replace("\n", "").isprintable() or any(s in text for s in self.specials):
+            return np.frombuffer(self._whole(text), np.uint16)
+        pieces = text.replace("\n", " \n").split(" ")
+        packed = list(map(self.young.get, pieces))
+        packed[0] = b""
+        missed = [i for i, x in enumerate(packed) if x is None]
+        new = {pieces[i] for i in missed}
+        if not pieces[0] or "" in new or "\n" in new:
+            return np.frombuffer(self._whole(text), np.uint16)
+        packed[0] = self._of(pieces[0])
+        for i in missed:
+            packed[i] = self._piece(pieces[i])
+        return np.frombuffer(b"".join(packed), np.uint16)
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece that isn't among the young ones: with a space before it, unless it starts with a break."""
+        x = self.young.get(piece) or self.old.get(piece)
+        if x is None:
+            # letters alone are never cut, and letters with a mark at their end only there
+            if piece.isalpha() and (piece.isascii() or max(piece) <= "\xff"):
+                x = self._part(f" {piece}")
+            elif (mark := piece[-1]) in self.marks and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) <= "\xff"):
+                x = (self.young.get(word) or self._piece(word)) + self.marks[mark]
+            else:
+                x = self._of(piece if piece[0] == "\n" else f" {piece}")
+        if len(piece) <= CACHED_CHARS:
+            if len(self.young) >= CACHE_SIZE:
+                self.old, self.young = self.young, {}
+            self.young[piece] = x
+        return x
+
+    def _of(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole(text)
-        if any(s in text for s in self.specials):
-            return self._whole(text)
-        matches, cache = self.cut(text), self.cache
-        packed = list(map(cache.get, matches))
-        if None in packed:
-            new = list({m for m, x in zip(matches, packed, strict=True) if x is None})
-            own = {m: array("H", e.ids).tobytes() for m, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            packed = [own[m] if x is None else x for m, x in zip(matches, packed, strict=True)]
-            if len(cache) + len(own) > CACHE_SIZE:
-                cache.clear()
-            cache.update((m, x) for m, x in own.items() if len(m) <= CACHED_CHARS)
-        return np.frombuffer(b"".join(packed), np.uint16)
-
-    def _whole(self, text: str) -> np.ndarray:
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        if len(ids) and ids.max() > 0xFFFF:
-            raise ValueError("ids must be below 65,536")
-        return ids.astype(np.uint16)
+        found = self.cut(text)
+        if len(found) == 1:
+            return self._part(text)
+        out = []
+        for part in found:
+            if part[0] == " " and len(part) > 1:
+                out.append(self.young.get(part[1:]) or self._piece(part[1:]))
+            else:
+                x = self.parts.get(part)
+                if x is None:
+                    x = self._part(part)
+                    if len(self.parts) >= CACHE_SIZE // 4:
+                        self.parts.clear()
+                    if len(part) <= CACHED_CHARS:
+                        self.parts[part] = x
+                out.append(x)
+        return b"".join(out)
+
+    def _part(self, part: str) -> bytes:
+        """What the library's pattern never cuts."""
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":
+            chars = "\u0120" + part[1:]
+        else:
+            chars = part.encode().decode("latin-1").translate(self.byte_chars)
+        return _short([t.id for t in self.model.tokenize(chars)])
+
+    def _whole(self, text: str) -> bytes:
+        return _short(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _short(ids: list[int]) -> bytes:
+    try:
+        return array("H", ids).tobytes()
+    except OverflowError as e:
+        raise ValueError("ids must be below 65,536") from e
 
 
 def load(path: str) -> Encoder:
@@ -291,45 +526,29 @@ def write(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", t
     def run(batches):
         encoder, part = load(path), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint16)
-        held: list[tuple[list, list, list]] = []  # chunks: ids, counts, tokens
-        open_chunk: tuple[list, list, list] = ([], [], [])
-        size = held_size = start = 0
-
-        def flush():
-            nonlocal held, held_size, start
-            blocks, owner = [], []
-            for c, (_, _, tokens) in enumerate(held):
-                joined = np.concatenate(tokens)
-                for i in range(0, len(joined), BLOCK):
-                    blocks.append(joined[i : i + BLOCK])
-                    owner.append(c)
-            parts: list[list[bytes]] = [[] for _ in held]
-            for c, code in zip(owner, encode_blocks(blocks), strict=True):
-                parts[c].append(code)
-            starts = []
-            for _, counts, _ in held:
-                starts.append(start)
-                start += sum(counts)
-            rows = [[part] * len(held), starts, [h[0] for h in held], [h[1] for h in held], [b"".join(p) for p in parts]]
-            held, held_size = [], 0
+        ids, counts, tokens = [], [], []
+        size = start = 0
+
+        def chunk():
+            nonlocal ids, counts, tokens, size, start
+            joined = np.concatenate(tokens)
+            payload = encode_blocks([joined[i : i + BLOCK] for i in range(0, len(joined), BLOCK)])
+            rows = [[part], [start], [ids], [counts], [payload]]
+            start += size
+            ids, counts, tokens, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _FILE, strict=True)], schema=_FILE)
 
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.concatenate([encoder.encode(x.as_py()), end])
-                open_chunk[0].append(doc)
-                open_chunk[1].append(len(ids))
-                open_chunk[2].append(ids)
-                size += len(ids)
-                if size >= CHUNK:
-                    held.append(open_chunk)
-                    held_size, size, open_chunk = held_size + size, 0, ([], [], [])
-                    if held_size >= LANES * BLOCK:
-                        yield flush()
-        if open_chunk[0]:
-            held.append(open_chunk)
-        if held:
-            yield flush()
+                own = np.concatenate([encoder.encode(x.as_py()), end])
+                ids.append(doc)
+                counts.append(len(own))
+                tokens.append(own)
+                size += len(own)
+                if size >= LANES * BLOCK:
+                    yield chunk()
+        if ids:
+            yield chunk()
 
     return stash(ranged.select("id", "text").mapInArrow(run, FILE), "token-files")
 
@@ -355,26 +574,14 @@ def _read(files: DataFrame, of, column: str, kind: pa.DataType, name: str) -> Da
     shared = spark.sparkContext.broadcast(base)
 
     def run(batches):
-        held, blocks = [], 0
-
-        def done():
-            cols: list[list] = [[], [], [], []]
-            for (part, start, ids, counts, _), tokens in zip(held, decode_blocks([h[4] for h in held]), strict=True):
-                joined, i = np.concatenate(tokens), 0
+        for b in batches:
+            for part, start, ids, counts, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                joined, i = np.concatenate(decode_blocks(payload)), 0
+                cols: list[list] = [[], [], [], []]
                 for doc, n in zip(ids, counts, strict=True):
                     for c, x in zip(cols, (doc, shared.value[part] + start + i, n, of(joined[i : i + n])), strict=True):
                         c.append(x)
                     i += n
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), kind), strict=True)], names=["doc_id", "start", "n_tokens", name])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(row)
-                blocks += -(-sum(row[3]) // BLOCK)
-                if blocks >= LANES:
-                    yield done()
-                    held, blocks = [], 0
-        if held:
-            yield done()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), kind), strict=True)], names=["doc_id", "start", "n_tokens", name])
 
     return files.select("part", "start", "doc_ids", "counts", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")

@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import random
-from zlib import crc32
+from zlib import compress, crc32
 
 import numpy as np
 import public_tokenizers as P
@@ -112,16 +112,71 @@ def test_files_of_an_empty_table(empty):
 def test_blocks_round_trip(blocks):
     arrays = [np.array(b, np.uint16) for b in blocks]
     back = token_files.decode_blocks(token_files.encode_blocks(arrays))
-    assert [b[0].tolist() for b in back] == blocks
+    assert [b.tolist() for b in back] == blocks
+
+
+def test_more_blocks_than_lanes_and_ids_of_all_sizes(monkeypatch):
+    monkeypatch.setattr(token_files, "LANES", 8)
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 65_536, n).astype(np.uint16) for n in rng.integers(0, 3000, 30)] + [np.arange(65_536, dtype=np.uint16)]
+    back = token_files.decode_blocks(token_files.encode_blocks(blocks))
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
+
+
+def test_each_block_is_coded_from_the_same_fresh_model():
+    ids = np.arange(50, dtype=np.uint16).repeat(4)
+    payload = token_files.encode_blocks([ids, ids[::-1], ids])
+    _, at = token_files.Table.unpack(payload)
+    codes = []
+    while at < len(payload):
+        _, size, _ = token_files._header(payload, at)
+        codes.append(payload[at : at + token_files.HEADER.size + size])
+        at += token_files.HEADER.size + size
+    assert len(codes) == 3 and codes[0] == codes[2] != codes[1]
+    (alone,) = token_files.decode_blocks(token_files.encode_blocks([ids, ids[::-1], ids])[: -sum(map(len, codes))] + codes[1])
+    assert (alone == ids[::-1]).all()
+
+
+def test_blocks_beat_order_0_and_deflate(corpus):
+    """Bytes a token on the corpus's own texts, with the chunk's table."""
+    ids = np.concatenate([token_files.load(P.path("byte_bpe_50k.json")).encode(r.text) for r in corpus.select("text").collect()])
+    blocks = [ids[i : i + token_files.BLOCK] for i in range(0, len(ids), token_files.BLOCK)]
+    count = np.bincount(ids)[np.bincount(ids) > 0]
+    entropy = -(count * np.log2(count / len(ids))).sum() / 8 / len(ids)
+    deflated = sum(len(compress(b.astype("<u2").tobytes(), 9)) for b in blocks) / len(ids)
+    own = len(token_files.encode_blocks(blocks)) / len(ids)
+    assert own < min(entropy, deflated), (own, entropy, deflated)
 
 
 def test_blocks_shrink_and_check():
     rng = random.Random(1)
     ids = np.array([rng.choice([5, 77, 300, 41_000]) for _ in range(token_files.BLOCK)], np.uint16)
-    (code,) = token_files.encode_blocks([ids])
+    code = token_files.encode_blocks([ids])
     assert len(code) < len(ids)  # half of the raw size
-    for i in (0, 13, len(code) // 2):
+    for i in (0, 13, 20, len(code) // 2):
         bad = bytearray(code)
         bad[i] ^= 1
         with pytest.raises(ValueError):
-            token_files.decode_blocks([bytes(bad)])
+            token_files.decode_blocks(bytes(bad))
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.text(max_size=60) | st.text(alphabet="ab \n'1é", max_size=40) | st.text(alphabet="ab \n\t日\xa0.", max_size=40))
+def test_pieces_are_the_librarys(text):
+    text = text.encode("utf-8", "ignore").decode()
+    encoder = token_files.load(P.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert encoder.encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_turn_over(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_SIZE", 8)
+    encoder, rng = token_files.Encoder(P.path("byte_bpe_50k.json")), random.Random(2)
+    for _ in range(200):
+        text = " ".join(rng.choice(["a", "bee", "see,", "(dee)", "e.\nFx", "x" * 60, "über"]) + rng.choice(["", "s", "'s", "1"]) for _ in range(rng.randint(1, 12)))
+        assert encoder.encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_wide_ids_are_refused():
+    with pytest.raises(ValueError, match="65,536"):
+        token_files._short([65_536])
