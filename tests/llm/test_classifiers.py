@@ -156,44 +156,65 @@ def test_language_query(spark):
     assert (out.lang_pred == out.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
-def slow_bits(text, texts, model):
-    """Code length by walking the contexts, escape by escape."""
-    sym = [int(model.symbol[b]) for b in b"  " + text.lower().encode()]
-    counts = {}
+def slow_bits(text, texts):
+    """Code length by walking the contexts of raw bytes, escape by escape."""
+    pad, counts = b" " * language_id.ORDER, {}
     for t in texts:
-        s = [int(model.symbol[b]) for b in b"  " + t.lower().encode()]
-        for i in range(2, len(s)):
-            for k in range(3):
-                c = counts.setdefault(tuple(s[i - k : i]), {})
+        s = pad + t.lower().encode()
+        for i in range(language_id.ORDER, len(s)):
+            for k in range(language_id.ORDER + 1):
+                c = counts.setdefault(s[i - k : i], {})
                 c[s[i]] = c.get(s[i], 0) + 1
-    bits = 0.0
-    for i in range(2, len(sym)):
+    s, bits = pad + text.lower().encode(), 0.0
+    for i in range(language_id.ORDER, len(s)):
         p = 1.0
-        for k in (2, 1, 0, -1):
+        for k in range(language_id.ORDER, -2, -1):
             if k < 0:
                 p /= 256
                 break
-            c = counts.get(tuple(sym[i - k : i]))
+            c = counts.get(s[i - k : i])
             if c:
                 total = sum(c.values()) + len(c)
-                if sym[i] in c:
-                    p *= c[sym[i]] / total
+                if s[i] in c:
+                    p *= c[s[i]] / total
                     break
                 p *= len(c) / total
         bits -= math.log2(p)
     return bits
 
 
-def test_code_lengths_are_exact():
-    texts, langs = ["der hund und die katze", "das ist gut", "the dog and the cat"], ["de", "de", "en"]
+def test_code_lengths_are_exact(monkeypatch):
+    texts, langs = ["der hund und die katze", "das ist gut", "the dog and the cat", "", "кот и собака, " * 3], ["de", "de", "en", "en", "ru"]
     m = language_id.train(texts, langs)
-    for probe in ("die and", "QX §", "the the"):
-        got = m.code_lengths(probe)
-        assert got == pytest.approx([slow_bits(probe, texts[:2], m), slow_bits(probe, texts[2:], m)], rel=1e-5)
+    for chunk in (language_id.CHUNK, 3):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        for probe in ("die and", "QX §", "the the", "кот und ещё", "a", "\x00\x7f日"):
+            assert m.code_lengths(probe) == pytest.approx([slow_bits(probe, x) for x in (texts[:2], texts[2:4], texts[4:])], rel=1e-5)
     assert m.predict("und das")[0] == "de" and m.predict("12 !") == ("und", 0.0) and m.predict(None) == ("und", 0.0)
     assert language_id.train([], []).predict("words") == ("und", 0.0)
 
 
+def test_code_lengths_with_all_bytes():
+    rng = random.Random(3)
+    alphabet = [chr(c) for c in range(32, 0x500)]
+    texts = ["".join(rng.choice(alphabet[a : a + 500]) for _ in range(900)) for a in (0, 300, 700)]
+    m = language_id.train(texts, ["a", "b", "c"])
+    assert (m.symbol < len(m.length[1]) - 2).sum() > 127  # more than 127 byte values are told apart
+    for probe in (texts[0][:50], texts[1][-40:] + "zz", "plain"):
+        assert m.code_lengths(probe) == pytest.approx([slow_bits(probe, [t]) for t in texts], rel=1e-5)
+
+
+def test_ties_and_bounds_of_what_is_learned(spark, monkeypatch):
+    m = language_id.train(["same words here"] * 2, ["b", "a"])
+    assert m.predict("same words")[0] == "a" and m.predict("same words")[1] == pytest.approx(0.5)
+    docs = spark.createDataFrame([(i, "x" * 100, "en" if i % 2 else "de") for i in range(60)] + [(2, "y", "de")] * 50 + [(None, "z", "fr")], "doc_id long, text string, lang string")
+    texts, langs = language_id.training_rows(docs, 500)
+    assert len(texts) == sum(not is_held_out(i) for i in range(60)) + (0 if is_held_out(2) else 50)  # a null id is never learned
+    monkeypatch.setattr(language_id, "LEARN", 505)
+    _, langs = language_id.training_rows(docs.where("text LIKE 'x%'"), 500)
+    assert langs.count("de") == langs.count("en") == 5
+
+
 def test_language_edges(messy, empty):
     out = language_id.identify(messy)
     assert out.columns == [c for c in messy.columns if c not in ("held_out", "score")] + ["held_out", "lang_pred", "score"]
