@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow, worker_state
+from strataquery.llm.common import drop_stash, map_arrow, stash, worker_state
 
 SAMPLE_DOCS, TABLE_SIZE, CACHE_SIZE, CACHED_CHARS = 20_000, 100_000, 300_000, 64
 
@@ -120,8 +120,16 @@ def frequent(docs: DataFrame, path: str, text: str = "text", sample_docs: int =
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([v for _, v in part], pa.int64())], names=["t", "n"])
 
     parts = share.select(docs[text].alias("text")).mapInArrow(count, "t string, n bigint")
-    rows = parts.groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(table_size).select("t").collect()
-    tokens = [r.t for r in rows]
+    counted = stash(parts.groupBy("t").agg(F.sum("n").alias("n")), "token-table")
+    # the least level of counts that the table has room for, so that no more than the table goes to the driver
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, room = 1 << 30, table_size
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > room:
+            break
+        least, room = r.level, room - r["count"]
+    tokens = [r.t for r in counted.where(level >= least).select("t").collect()]
+    drop_stash(counted)
     return dict(zip(tokens, load(path).lengths(tokens), strict=True))
 
 
