@@ -194,11 +194,28 @@ class IgnoreRule:
     directory: bool
 
 
+#: What a run of stars and a slash stand for: any folders, or none.
+_FOLDERS = "(?:.*/)?"
+
+
 def glob_regex(glob: str) -> str:
-    """The body of a regular expression: * stays inside a segment, ** crosses them, ? is one character."""
-    glob = re.sub(r"(\*\*/)+", "**/", re.sub(r"\*{3,}", "**", glob))
-    pieces = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    return "".join(pieces.get(p, re.escape(p)) for p in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", glob))
+    """The body of a regular expression: one star stays inside a segment, more cross them, ? is one character."""
+    out: list[str] = []
+    rest = glob
+    while rest:
+        body = rest.lstrip("*")
+        stars = len(rest) - len(body)
+        if stars > 1 and body.startswith("/"):
+            body = body[1:]
+            if out[-1:] != [_FOLDERS]:  # any folders of any folders are any folders
+                out.append(_FOLDERS)
+        elif stars:
+            out.append(".*" if stars > 1 else "[^/]*")
+        else:
+            out.append("[^/]" if rest[0] == "?" else re.escape(rest[0]))
+            body = rest[1:]
+        rest = body
+    return "".join(out)
 
 
 def ignore_rule(line: str) -> IgnoreRule | None:

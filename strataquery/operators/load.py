@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.functions import columns as C
 from strataquery.functions import kernels as K
 from strataquery.operators import matching as M
+from strataquery.session import cut_lineage
 
 #: What one batch holds at most.
 PACK_FILES, PACK_BYTES, PACK_TOKENS = 50, 102_400, 20_000
@@ -154,7 +155,10 @@ def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float] | No
 
 def plan(files: DataFrame, latest_rows: DataFrame, snapshot: DataFrame, force: bool = False, limit: int | None = None) -> dict[str, DataFrame]:
     """A load's stages before anything is asked or written (the dry run): inherited, skipped, todo, buckets, cost, packed."""
-    ready = prepared(files)
+    return _planned(prepared(files), latest_rows, snapshot, force, limit)
+
+
+def _planned(ready: DataFrame, latest_rows: DataFrame, snapshot: DataFrame, force: bool, limit: int | None) -> dict[str, DataFrame]:
     inherited, survivors = M.split_by_hash(ready, snapshot)
     states = resume_states(survivors, latest_rows, force)
     todo = states.where("resume <> 'skip'")
@@ -173,12 +177,6 @@ def needs_load(versions: DataFrame, has_projection: bool) -> bool:
     return not has_projection or versions.isEmpty()
 
 
-def ordinal_batches(files: DataFrame, per: int = PACK_FILES) -> DataFrame:
-    """A simpler packing by count alone, as a window: batch = place // per, in each shard."""
-    w = Window.partitionBy("shard").orderBy("path")
-    return files.withColumn("batch", F.floor((F.row_number().over(w) - 1) / per).cast("long"))
-
-
 def with_retries(client: Client, attempts: int = 3, wait: Callable[[float], None] | None = None) -> Client:
     """A client that asks again, a little later each time, when the call raises a ConnectionError or TimeoutError; other errors pass at once."""
     import time
@@ -202,11 +200,11 @@ def run(files: DataFrame, versions: DataFrame, snapshot: DataFrame, ids: DataFra
     """A bulk load. Gives the plan; hands rows to ``persist`` (stage, rows) in order: inherited, pending, skipped, described.
 
     ids: path, entity_id for every file, minted once by the caller and stored, so that a task that is run again gives no new ones.
-    Each stage is durable before the next one asks a model anything.
+    Each stage is durable before the next one asks a model anything. Files are read and hashed once, into a checkpoint.
     """
     from strataquery.operators.versions import latest
 
-    p = plan(files, latest(versions), snapshot, force, limit)
+    p = _planned(cut_lineage(prepared(files)), latest(versions), snapshot, force, limit)
     named = p["todo"].join(ids, "path")
     stages = {
         "inherited": p["inherited"].join(ids, "path").drop("content"),

@@ -46,6 +46,12 @@ def ranked(arm: DataFrame, number: int, id_col: str, *order: object) -> DataFram
     return arm.withColumn("_rank", F.row_number().over(one)).withColumn("_arm", F.lit(number))
 
 
+def rrf_multiplier(setting: object) -> float:
+    """A configured multiplier: any finite number above 0, else 1. Both arms search one table, so fusion gives it to neither."""
+    good = isinstance(setting, int | float) and not isinstance(setting, bool) and math.isfinite(setting) and setting > 0
+    return float(setting) if good else 1.0
+
+
 def fuse(arms: list[DataFrame], hit: list[str], limit: int, id_col: str = "id", k: int = RRF_K) -> DataFrame:
     """Sum of 1 / (k + rank) by id; the first arm's row is kept. Arms come from ranked() and are short."""
     union = arms[0].select(id_col, *hit, "_rank", "_arm")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataquery.operators.versions import allocate_seq, in_tenancy
-from strataquery.schemas import IDENTITIES, TENANCY, VERSIONS, Column, conform, known_status, struct
+from strataquery.operators.versions import allocate_seq
+from strataquery.schemas import IDENTITIES, TENANCY, VERSIONS, Column, conform, evolve, known_status, struct
+from strataquery.session import cut_lineage
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -15,16 +21,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_tolerant(spark: SparkSession, path: str, columns: list[Column], tenant: tuple[str, str, str] | None = None) -> DataFrame:
+#: Tenants that a filter on partitions names one by one; more are read as a whole.
+MOST_TENANTS = 200
+
+
+def read_tolerant(spark: SparkSession, path: str, columns: list[Column], *tenants: tuple[str, str, str]) -> DataFrame:
     """A table under its pinned schema: a missing one is empty, columns that old files lack are null or default; other errors are raised.
 
-    tenant: only that one's rows; the filter stands below the defaults, so it prunes partitions.
+    tenants: only their rows; the filter stands below the defaults, so it prunes partitions.
     """
     schema = struct(columns)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     raw = spark.read.schema(schema).parquet(path)
-    return conform(in_tenancy(raw, *tenant) if tenant else raw, columns)
+    if tenants:
+        raw = raw.where(reduce(or_, (reduce(and_, (F.col(c) == v for c, v in zip(TENANCY, t, strict=True))) for t in tenants)))
+    return conform(raw, columns)
+
+
+def stored_for(spark: SparkSession, batch: DataFrame, path: str, columns: list[Column]) -> DataFrame:
+    """The stored rows of a batch's entities: its tenants' folders alone are read."""
+    tenants = []
+    if all(c in batch.columns for c in TENANCY):
+        tenants = [tuple(r) for r in batch.select(*TENANCY).distinct().limit(MOST_TENANTS + 1).collect()]
+    few = tenants if 0 < len(tenants) <= MOST_TENANTS and all(None not in t for t in tenants) else []
+    return read_tolerant(spark, path, columns, *few).join(batch.select("entity_id").distinct(), "entity_id", "left_semi")
 
 
 def scan(spark: SparkSession, path: str, org: str, workspace: str, project: str) -> DataFrame:
@@ -50,33 +71,47 @@ def append(df: DataFrame, path: str, columns: list[Column]) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
+def healed(write: Callable[[DataFrame], None], df: DataFrame, columns: list[Column]) -> None:
+    """Writes ``df``; if a column that it lacks is the reason that this fails, adds the catalog's nullable ones and tries once more."""
+    try:
+        write(df)
+    except AnalysisException:
+        if all(c.name in df.columns for c in columns):
+            raise
+        write(evolve(df, columns))
+
+
 def mint_identities(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
-    """Appends identities that aren't there yet; raises ValueError if ``new`` has one twice. Gives what it added."""
+    """Appends identities that aren't there yet; raises ValueError if ``new`` has one twice, RuntimeError if one isn't found afterwards. Gives what it added."""
     if not new.groupBy("entity_id").count().where("count > 1").isEmpty():
         raise ValueError("an identity is given twice")
-    fresh = new.join(read_tolerant(spark, path, IDENTITIES).select("entity_id"), "entity_id", "left_anti")
+    fresh = cut_lineage(new.join(stored_for(spark, new, path, IDENTITIES).select("entity_id"), "entity_id", "left_anti"))
     append(fresh, path, IDENTITIES)
+    if not fresh.join(stored_for(spark, fresh, path, IDENTITIES).select("entity_id"), "entity_id", "left_anti").isEmpty():
+        raise RuntimeError("an identity that was written isn't there")
     return fresh
 
 
 def append_versions(spark: SparkSession, new: DataFrame, path: str, arrival: str = "observed_at") -> None:
     """Appends versions at each entity's next seq, in order of arrival. One writer at a time."""
-    append(allocate_seq(new, read_tolerant(spark, path, VERSIONS), arrival), path, VERSIONS)
+    append(allocate_seq(new, stored_for(spark, new, path, VERSIONS), arrival), path, VERSIONS)
 
 
 def write_batch(identities_path: str, versions_path: str):
     """A foreachBatch writer of (identity columns, version columns) rows: identities first, so no version is without one.
 
-    A batch that comes again after a failure adds nothing twice: rows that are stored (entity, content, time) are left out.
+    A batch that comes again after a failure adds nothing twice: rows that are stored (entity, content, time) are left out. If
+    identities can't be written, the batch fails before its versions and waits as a whole to be run again. Of what is stored, only
+    the batch's tenants and entities are looked at.
     """
 
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         have = [c.name for c in IDENTITIES if c.name in batch.columns]
         new = batch.select(*have).dropDuplicates(["entity_id"])
-        append(new.join(read_tolerant(spark, identities_path, IDENTITIES).select("entity_id"), "entity_id", "left_anti"), identities_path, IDENTITIES)
+        append(new.join(stored_for(spark, new, identities_path, IDENTITIES).select("entity_id"), "entity_id", "left_anti"), identities_path, IDENTITIES)
         key = ["entity_id", "content_hash", "observed_at"]
-        stored = read_tolerant(spark, versions_path, VERSIONS).select(*key)
+        stored = stored_for(spark, batch, versions_path, VERSIONS).select(*key)
         append_versions(spark, batch.dropDuplicates(key).join(stored, key, "left_anti"), versions_path)
 
     return write

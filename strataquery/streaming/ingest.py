@@ -37,6 +37,13 @@ def cycles(stream: DataFrame, cycle: Callable[[DataFrame, int], tuple[int, int]]
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def on_a_beat(spark: SparkSession, look: Callable[[], None], checkpoint: str, seconds: float = RESYNC_S) -> StreamingQuery:
+    """Calls ``look`` (a full look at all paths, say) once a beat, for as long as the query runs; a look that takes longer delays the next one."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda _batch, _number: look())
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
+
+
 def unseen(stream: DataFrame, delay: str, keys: list[str], ts: str = "ts") -> DataFrame:
     """Drops events that repeat within the watermark: paths pending between cycles count once."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

@@ -331,3 +331,22 @@ def test_stat_fast_path(spark):
     disk = spark.createDataFrame([("a", 1, "t"), ("b", 2, "t")], "path string, size_bytes long, mtime string")
     known = spark.createDataFrame([("a", 1, "t"), ("b", 2, "u")], "path string, size_bytes long, mtime_observed string")
     assert [r.path for r in V.unchanged_by_stat(disk, known).collect()] == ["a"]
+
+
+def test_small_rules(spark):
+    from strataquery.functions import columns as C
+
+    assert [recall.rrf_multiplier(x) for x in (2, 0.5, 0, -1, float("inf"), "3", None, True)] == [2.0, 0.5, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0]
+    got = spark.range(3).select(C.batch_output_tokens(F.col("id")).alias("n"), C.without_controls(F.lit("a\x00b\tc\x1f\n")).alias("t")).collect()
+    assert [r.n for r in got] == [1024, 1144, 1264] and got[0].t == "ab\tc\n"
+    files = spark.createDataFrame([(p,) for p in ("a.log", "kept.log", "b.txt", "sub/c.log")], "path string")
+    assert sorted(r.path for r in paths.within_snapshot(files, files.where("path = 'kept.log'"), {"": "*.log"}).collect()) == ["b.txt", "kept.log"]
+    none = spark.createDataFrame([], VERSION)
+    assert load.needs_load(none, True) and load.needs_load(spark.createDataFrame([version()], VERSION), False) and not load.needs_load(spark.createDataFrame([version()], VERSION), True)
+
+
+@pytest.mark.parametrize("glob, yes, no", [("*.py", "a.py", "a/b.py"), ("a/**/b", "a/b", "ab"), ("a/**/**/b", "a/x/y/b", "a/xb"), ("***/x", "p/q/x", "p/qx"), ("a**z", "a/b/z", "az/"), ("f?.c", "fo.c", "f/.c"), ("[x]+", "[x]+", "x")])
+def test_globs(glob, yes, no):
+    import re
+
+    assert re.fullmatch(K.glob_regex(glob), yes) and not re.fullmatch(K.glob_regex(glob), no)

@@ -2,9 +2,12 @@ import json
 import os
 import random
 import subprocess
+import time
 import types
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from strataquery import schemas
 from strataquery.operators.enrich import Failures
@@ -94,6 +97,69 @@ def test_debouncer_sets_and_caps_timers():
     assert out[0].values.tolist() == [["p", 1200, 8]] and not state
 
 
+def test_debounce_on_a_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = str(tmp_path / "src")
+    events = lambda n: spark.createDataFrame([("a", i) for i in range(n)] + [("b", 0)], "path string, ts_ms long").coalesce(1).write.mode("append").parquet(src)
+    events(3)
+    stream = spark.readStream.schema("path string, ts_ms long").parquet(src)
+    q = debounce.debounce(stream, 200, 1000).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="100 milliseconds").start()
+    try:
+        fired, end = lambda: {(r.path, r.n) for r in spark.table("fired").collect()}, time.time() + 90
+        while fired() != {("a", 3), ("b", 1)} and time.time() < end:
+            time.sleep(0.3)
+        assert fired() == {("a", 3), ("b", 1)}
+        events(2)  # a burst of its own
+        while len(fired()) < 3 and time.time() < end:
+            time.sleep(0.3)
+        assert ("a", 2) in fired()
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_looks_on_a_beat(spark, tmp_path):
+    looks = []
+    q = ingest.on_a_beat(spark, lambda: looks.append(1), str(tmp_path / "cp"), 0.2)
+    end = time.time() + 60
+    while len(looks) < 2 and time.time() < end:
+        time.sleep(0.2)
+    q.stop()
+    assert len(looks) >= 2
+
+
+def test_new_files_as_a_stream_and_repeats_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"one")
+    seen = []
+    q = ingest.file_stream(spark, str(tmp_path / "in")).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: seen.extend((os.path.basename(r.path), bytes(r.content)) for r in b.collect())).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert seen == [("a.txt", b"one")]
+    src = str(tmp_path / "events")
+    spark.sql("SELECT explode(array('a', 'a', 'b')) AS path, timestamp'2024-01-01' AS ts").write.parquet(src)
+    kept = []
+    q = ingest.unseen(spark.readStream.schema("path string, ts timestamp").parquet(src), "1 hour", ["path"]).writeStream.option("checkpointLocation", str(tmp_path / "cp2")).foreachBatch(lambda b, n: kept.extend(r.path for r in b.collect())).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(kept) == ["a", "b"]
+
+
+def test_heal_once(spark):
+    columns = schemas.VERSIONS
+    df, tries = spark.createDataFrame([("e",)], "entity_id string"), []
+
+    def write(d):
+        tries.append(d.columns)
+        d.select("embedding").count()
+
+    nullable = [c for c in columns if c.nullable]
+    tables.healed(write, df, nullable)
+    assert len(tries) == 2 and set(tries[1]) == {"entity_id", *[c.name for c in nullable]}
+    with pytest.raises(ValueError):
+        schemas.evolve(df, columns)  # not all can be added
+    with pytest.raises(AnalysisException):
+        tables.healed(lambda d: d.select("nowhere").count(), schemas.evolve(df, nullable).withColumns({c.name: F.lit(None) for c in nullable}), nullable)
+
+
 def test_resync_is_asked_for(spark):
     f = lambda rows: debounce.needs_resync(spark.createDataFrame(rows, "path string, is_dir boolean")).first().resync
     assert not f([("a", False)]) and f([("a", False), (None, None)]) and f([("d", True)]) and not f([])
