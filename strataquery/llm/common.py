@@ -32,21 +32,42 @@ def _own_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the tables that this process has made with :func:`stash` and not deleted since.
+_MADE: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
+def stashes() -> set[str]:
+    """The tables that are there: to be kept when others are swept."""
+    return set(_MADE)
+
+
+def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Deletes the tables made by :func:`stash` that aren't to be kept. Results that were written, or are no longer wanted, don't need them."""
+    for path in [p for p in _MADE if p not in keep]:
+        _delete(spark, path)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Deletes a table made by :func:`stash` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._stash_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 #: What a Python worker keeps between tasks: one operator's state at a time.

@@ -160,7 +160,7 @@ class Corpus:
 
     def __init__(self, texts: list[str]):
         ids: dict[bytes, int] = {}
-        self.docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t).split()], np.int32) for t in texts]
+        docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t).split()], np.int32) for t in texts]
         words, bags, sizes = list(ids), [], np.zeros(len(ids), np.int64)
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
@@ -172,7 +172,7 @@ class Corpus:
         self.bag = np.concatenate(bags) if bags else np.empty(0, np.int32)
         self.first, self.sizes = np.append(0, np.cumsum(sizes)), sizes
         # phrases of all documents, one after the other: their words' places, n-grams, and each document's first one
-        words, lengths = np.concatenate([*self.docs, np.empty(0, np.int32)]), np.array([len(d) for d in self.docs])
+        words, lengths = np.concatenate([*docs, np.empty(0, np.int32)]), np.array([len(d) for d in docs])
         self.words, begin = words, np.append(0, np.cumsum(lengths))
         self.starts = np.concatenate([*(np.arange(a, b, PHRASE) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), np.empty(0, np.int64)])
         self.ends = np.minimum(self.starts + PHRASE, np.repeat(begin[1:], -(-lengths // PHRASE)))
@@ -189,7 +189,7 @@ class Corpus:
 
     def gathered(self, z: np.ndarray) -> np.ndarray:
         """Each document's logit, nan without phrases."""
-        out = np.full(len(self.docs), np.nan)
+        out = np.full(len(self.phrase) - 1, np.nan)
         for i, (a, b) in enumerate(zip(self.phrase[:-1].tolist(), self.phrase[1:].tolist(), strict=True)):
             if b > a and np.isfinite(x := np.logaddexp.reduce(z[a:b])):
                 out[i] = x

@@ -1,10 +1,17 @@
 """The corpus pipeline on whole small tables."""
 
+import base64
+import hashlib
+from collections import Counter
+
+import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
+import xxhash
 
 import corpus_pipeline
-from strataquery.llm.byte_bpe import load
+from strataquery.llm import toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,17 +47,79 @@ def test_no_text_stays_twice(stages):
     assert stages[1].select("text").distinct().count() >= stages[2].count()
 
 
-def test_passages_go(stages):
-    before, after = ({r.doc_id: r for r in s.collect()} for s in stages[2:4])
-    assert before.keys() == after.keys()
-    for i, r in after.items():
-        assert r.text == before[i].text or len(r.text) < len(before[i].text) and r.n_chars == len(r.text)
+def slow_views(text):
+    """The fingerprints that link in the pipeline: three-word shingles with repeats, and distinct words under three seeds."""
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    out = []
+    for grams, seed in ((shingles, 42), (set(words), 1), (set(words), 2), (set(words), 3)):
+        h = [xxhash.xxh64_intdigest(g, seed) for g in grams]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    return out
 
 
-def test_tokens_decode_to_the_text(stages):
-    codec = load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    for r in stages[5].limit(100).collect():
-        assert codec.bpe.decode(r.token_ids).decode() == r.text and r.n_tokens == len(r.token_ids)
+def test_one_of_each_group_by_all_pairs(stages):
+    rows = sorted(stages[1].collect(), key=lambda r: r.doc_id)
+    label = np.arange(len(rows))
+    for view in zip(*(slow_views(r.text) for r in rows), strict=True):
+        fps = np.array(view, np.uint64)
+        for i in range(len(fps)):
+            hit = np.unique(label[np.bitwise_count(fps ^ fps[i]) <= 3])
+            label[np.isin(label, hit)] = hit[0]
+    assert {rows[i].doc_id for i in set(label.tolist())} == {r.doc_id for r in stages[2].collect()}
+
+
+def test_passages_by_all_windows(stages):
+    n = corpus_pipeline.PASSAGE_BYTES
+    texts = {r.doc_id: (r.text or "").encode() for r in stages[2].collect()}
+    seen = Counter(hash(t[i : i + n]) for t in texts.values() for i in range(len(t) - n + 1))
+    cut = 0
+    for r in stages[3].collect():
+        data = texts[r.doc_id]
+        gone = bytearray(len(data))
+        for i in range(len(data) - n + 1):
+            if seen[hash(data[i : i + n])] > 1:
+                gone[i : i + n] = b"\1" * n
+        assert r.text == bytes(x for x, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")
+        assert r.n_chars == len(r.text)
+        cut += any(gone)
+    assert cut
+
+
+def test_leaks_by_all_windows_of_words(spark, stages):
+    """A document that holds an item's words in a row goes; one that shares no word pair with any item stays."""
+    items = [toxicity.words_of(r.text).split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {tuple(w[i : i + 12]) for w in items for i in range(len(w) - 11)}
+    pairs = {tuple(w[i : i + 2]) for w in items for i in range(len(w) - 1)}
+    stay = {r.doc_id for r in stages[4].collect()}
+    whole = 0
+    for r in stages[3].collect():
+        words = toxicity.words_of(r.text).split()
+        if not any(tuple(words[i : i + 2]) in pairs for i in range(len(words) - 1)):
+            assert r.doc_id in stay
+        text = b" ".join(words)
+        if any(tuple(words[i : i + 12]) in grams for i in range(len(words) - 11)) and any(b" ".join(w) in text for w in items if len(w) >= 12):
+            assert r.doc_id not in stay
+            whole += 1
+    assert whole
+
+
+def test_tokens_are_the_librarys(stages):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in stages[5].collect():
+        assert r.token_ids == library.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids)
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_run_sweeps_what_it_no_longer_needs(spark):
+    from strataquery.llm import common
+
+    before = common.stashes()
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and len(common.stashes() - before) == 1  # the last stage's input
+    common.sweep(spark, before)
+    assert common.stashes() == before
 
 
 def test_run_gives_the_stages_rows(spark, stages):
