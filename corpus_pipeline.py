@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.llm import byte_bpe, decontaminate, quality, simhash, suffix_dedup
-from strataquery.llm.common import stash, table
+from strataquery.llm.common import stash, stashes, sweep, table
 
 #: Bytes from which a passage that repeats is removed: about fifty words.
 PASSAGE_BYTES = 256
@@ -66,9 +66,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), stashes()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stash(docs, f"pipeline-{name.replace(' ', '-')}")
+            # what the stage has kept for itself, and the stage's input, aren't needed any more
+            sweep(spark, before | {docs._stash_path})
     return docs
