@@ -13,7 +13,7 @@ a task's memory doesn't depend on the tables' sizes; no document or query is dro
 
 Defined results: a null vector and one with a null or non-finite component take no part; a
 dimension that one vector lacks adds nothing (an empty vector scores 0 everywhere); rows
-that repeat an id are candidates of their own, each but the query's own id; ties go to the
+that repeat an id are candidates of their own, each but the query's own id, and a query's rows are ranked together; ties go to the
 smaller id, and equal ids with equal scores are all kept apart; a null id takes no part; fewer
 candidates than k give fewer rows; an empty table gives an empty result.
 """

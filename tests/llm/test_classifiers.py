@@ -295,3 +295,23 @@ def test_quality_edges(spark, messy, empty):
     assert out.count() == messy.count() and out.columns == [*messy.columns, "quality_score", "quality_pred"]
     assert quality.score(empty, labels).count() == 0
     assert {r.quality_score for r in quality.score(messy.select("doc_id", "text"), labels.where("quality = 1")).collect()} == {1.0}
+
+
+def test_documents_alike_score_alike(spark):
+    rows = [(i, "The same good text. " * 5 if i % 2 else "$$$ !!! 111 " * 5, "en", "s", 100) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = quality.score(docs, labels).collect()
+    assert len({r.quality_score for r in got if r.doc_id % 2}) == 1 and len({r.quality_score for r in got if r.doc_id % 2 == 0}) == 1
+    assert all(r.quality_pred == r.doc_id % 2 for r in got)
+
+
+def test_very_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    text = "some plain words of a very long text " * 100_000
+    models = toxicity.train(*toxic_texts(1, 80)), language_id.train(["some plain words", "andere Worte"], ["en", "de"])
+    tracemalloc.start()
+    assert 0 <= models[0].score(text) <= 1 and models[1].predict(text)[0] == "en"
+    assert tracemalloc.get_traced_memory()[1] < 60 * toxicity.PIECE + 20 * len(text)
+    tracemalloc.stop()

@@ -129,3 +129,12 @@ def test_edges(spark, messy, empty):
     assert "don't we'll I'm 123 4567" in hit and None not in hit and "" not in hit
     assert D.contamination(empty, bench).count() == 0
     assert D.contamination(messy, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_of_equally_good_items_the_smallest_id_is_named(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    items = spark.createDataFrame([(7, text), (3, text), (None, text), (9, "quite other words altogether in this one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of the kind")], "doc_id long, text string")
+    for block in (2000, 1):
+        got = {r.doc_id: (r.contaminated, r.item_id) for r in D.contamination(docs, items, block=block).collect()}
+        assert got == {1: (True, 3), 2: (False, None)}

@@ -33,6 +33,17 @@ def test_any_vectors(spark, shard):
     assert got == brute(rows, 5)
 
 
+def test_ids_that_repeat(spark):
+    """Each row is a candidate of its own but for the query's own id; a query's rows are ranked together, as in the SQL."""
+    rng = random.Random(5)
+    rows = [(i % 70, [float(rng.randint(-3, 3)) for _ in range(6)]) for i in range(140)] + [(7, [1.0] * 6)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    embeddings = df.toPandas()  # noqa: F841  read by the SQL
+    want = duckdb.sql(queries.ORACLE_SQL["op1_top_k_search"]).fetchall()
+    got = maxscore.search(df, "id % 50 = 0", 5, shard_rows=20).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r[0] for r in want} == {0, 50}
+
+
 def test_sums_past_float(spark):
     rows = [(i, [1e9 * (i + 1), -3e7]) for i in range(8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -72,6 +72,17 @@ def test_counts_are_the_librarys(request, which):
             assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(PIECES.encode(r.text or ""))), r.text
 
 
+def test_counts_give_way_to_no_clashing_column(messy):
+    out = token_counts.token_counts(messy, P.path("piece_bpe_32k.model"))
+    assert out.columns == [c for c in messy.columns if c.lower() != "n_tokens"] + ["n_bytes", "n_tokens"] and out.count() == messy.count()
+
+
+def test_table_is_bounded_and_of_the_commonest(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(200) if n % (i + 1) == 0),) for n in range(400)], "text string")
+    table = token_counts.frequent(docs, P.path("piece_bpe_32k.model"), table_size=20)
+    assert 10 <= len(table) <= 20 and set(table) <= {f"w{i}" for i in range(24)}
+
+
 def test_counts_of_an_empty_table(empty):
     assert token_counts.token_counts(empty, P.path("piece_bpe_32k.model")).count() == 0
 
