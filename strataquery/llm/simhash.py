@@ -13,8 +13,9 @@ neighbours (six at most), joined with another segment's codeword or its exact bi
 
 Rows that share a key and hold a filed one are compared, and a pair is linked if at most
 three bits differ. A task streams its keys in order and gives, for what it has linked, one
-edge for each member of a group, never all pairs. A key with more rows than ``limit``
-is dealt out anew in blocks, each pair of blocks to a task. Components of the edges
+edge for each member of a group, never all pairs. The rows of a key with more than ``limit`` are filed anew under
+the key and each quarter of their bits, one of which two linked ones share; what is still over
+``limit`` is dealt out in blocks, each pair of blocks to a task. Components of the edges
 between distinct fingerprints are found by :mod:`components`.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; texts
@@ -240,19 +241,30 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
 
         return fn
 
-    rows = map_arrow(fps, make, "key long, fp long, filed boolean").repartition("key").sortWithinPartitions("key")
-    found = stash(_linked(rows, limit), "simhash-links")
-    edges = found.where("kind = 0").select("a", "b")
-    over = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "filed", "block")
-    if over.isEmpty():
+    edges, over = _found(map_arrow(fps, make, "key long, fp long, filed boolean"), limit)
+    if over is None:
+        return edges
+    # fingerprints within three bits have one of four quarters in common, so a large key is split by each of them
+    quarter = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    split = over.withColumn("quarter", quarter).withColumn("bits", F.expr("shiftrightunsigned(fp, 16 * quarter) & 65535"))
+    more, over = _found(split.select(F.xxhash64("key", "quarter", "bits").alias("key"), "fp", "filed"), limit)
+    edges = edges.unionByName(more)
+    if over is None:
         return edges
-    # each pair of a key's blocks meets once, under a key of its own
+    # what is large even then goes in blocks: each pair of a key's blocks meets once, under a key of its own
     blocks = over.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     dealt = over.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp", "filed")
     return edges.unionByName(_linked(dealt.repartition("key").sortWithinPartitions("key"), 2 * limit + 1).where("kind = 0").select("a", "b"))
 
 
+def _found(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, rows of keys over ``limit`` or None) of rows (key, fp, filed)."""
+    found = stash(_linked(rows.repartition("key").sortWithinPartitions("key"), limit), "simhash-links")
+    over = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "filed", "block")
+    return found.where("kind = 0").select("a", "b"), None if over.isEmpty() else over
+
+
 #: Views (shingle's words, seed, count a shingle once) that together reach copies with four fifths of their five-word shingles alike.
 WIDE = ((SHINGLE, SEED, False), (1, 1, True), (1, 2, True), (1, 3, True))
 
