@@ -84,8 +84,10 @@ def content_hash_duplicates(spark, d):
 
 
 def hash_to_entities(spark, d):
-    g = _hashed(spark, d).groupBy("content_hash").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"), F.max("doc_id").alias("last_entity"))
-    return g.select("content_hash", F.array_join(F.col("ids").cast("array<string>"), ",").alias("entities"), "last_entity")
+    """Each hash's entities as rows of a bounded size, with how many it has and the last of them."""
+    h = _hashed(spark, d)
+    g = h.groupBy("content_hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_entity"))
+    return h.select("content_hash", F.col("doc_id").alias("entity")).join(g, "content_hash")
 
 
 def _id(c="doc_id"):
@@ -295,7 +297,7 @@ SELECT id, arg_min(concepts, arm) AS concepts, round(sum(1.0::DOUBLE / (60 + r))
     "hydrated_scores": f"WITH {_S}, {_Q}, {_E}, t AS (SELECT * FROM e ORDER BY score DESC, id LIMIT 60) SELECT t.id, concepts, round(score, 6) AS score FROM t JOIN s USING (id)",
     "valid_vectors": "SELECT count(*) AS n, CAST(count(*) FILTER (len(embedding) = 64) AS BIGINT) AS valid, CAST(count(*) FILTER (len(embedding) = 768) AS BIGINT) AS wide FROM embeddings",
     "content_hash_duplicates": f"WITH {_H} SELECT content_hash, count(*) AS n, min(doc_id) AS first_doc FROM h GROUP BY 1 HAVING count(*) > 1",
-    "hash_to_entities": f"WITH {_H} SELECT content_hash, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS entities, max(doc_id) AS last_entity FROM h GROUP BY 1",
+    "hash_to_entities": f"WITH {_H} SELECT content_hash, doc_id AS entity, count(*) OVER (PARTITION BY content_hash) AS n, max(doc_id) OVER (PARTITION BY content_hash) AS last_entity FROM h",
     "classify_paths": f"WITH {_K} SELECT coalesce(dk.path, k.path) AS path, CASE WHEN k.path IS NULL THEN 'new' WHEN dk.path IS NULL THEN 'missing' WHEN k.content_hash = dk.content_hash THEN 'unchanged' ELSE 'changed' END AS state FROM dk FULL JOIN k ON dk.path = k.path",
     # by the rules: only the first entity of a hash counts; it moves once, if its own path is gone
     "move_copy_mint_classification": f"""WITH {_K}, {_FIRST},

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,24 +24,33 @@ def sessions(events: DataFrame, gap: str, key: str = "path", ts: str = "ts") ->
 def capped_sessions(events: DataFrame, pause_ms: int = PAUSE_MS, most_ms: int = MOST_MS, key: str = "path", ts_ms: str = "ts_ms") -> DataFrame:
     """(key, fired_ms, n) over a bounded table: a burst fires ``pause_ms`` after its last event, or ``most_ms`` after its first.
 
-    The cap makes a burst's end depend on where it began, so each pause-separated burst is a fold; the fold is an aggregate over the burst's
-    events, and bursts are split apart by a window first.
+    The cap makes a burst's end depend on where it began, so each key is a fold over its events in order. They are
+    streamed through a task in that order, which holds but the open burst.
     """
-    w = Window.partitionBy(key).orderBy(ts_ms)
-    new = F.coalesce(F.col(ts_ms) - F.lag(ts_ms).over(w) > pause_ms, F.lit(True)).cast("int")
-    bursts = events.withColumn("_burst", F.sum(new).over(w)).groupBy(key, "_burst").agg(F.array_sort(F.collect_list(ts_ms)).alias("at"))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<fired_ms:long,n:long>>").alias("out"))
-
-    def step(s, t):
-        over = s["first"].isNotNull() & (t - s["first"] > most_ms)
-        done = F.concat(s["out"], F.array(F.struct((s["first"] + most_ms).alias("fired_ms"), s["n"].alias("n"))))
-        return F.struct(F.when(over | s["first"].isNull(), t).otherwise(s["first"]).alias("first"), t.alias("last"), F.when(over, 1).otherwise(s["n"] + 1).cast("long").alias("n"), F.when(over, done).otherwise(s["out"]).alias("out"))
-
-    def finish(s):
-        return F.concat(s["out"], F.array(F.struct(F.least(s["last"] + pause_ms, s["first"] + most_ms).alias("fired_ms"), s["n"].alias("n"))))
-
-    fired = bursts.select(key, F.explode(F.aggregate(F.transform("at", lambda x: x.cast("long")), start, step, finish)).alias("f"))
-    return fired.select(key, "f.fired_ms", "f.n")
+    rows = events.select(key, F.col(ts_ms).cast("long").alias("_at")).where("_at IS NOT NULL")
+    schema = T.StructType([rows.schema[key], T.StructField("fired_ms", T.LongType()), T.StructField("n", T.LongType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, last, n = None, 0, 0, 0
+        kinds = [None, pa.int64(), pa.int64()]
+
+        def fired(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            kinds[0], out = batch.schema.field(0).type, []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and (k != now or t - last > pause_ms or t - first > most_ms):
+                    out.append((now, min(last + pause_ms, first + most_ms), n))
+                    n = 0
+                now, first, last, n = k, first if n else t, t, n + 1
+            yield fired(out)
+        if n:
+            yield fired([(now, min(last + pause_ms, first + most_ms), n)])
+
+    return rows.repartition(key).sortWithinPartitions(key, "_at").mapInArrow(run, schema)
 
 
 class Debouncer(StatefulProcessor):
