@@ -4,7 +4,7 @@ Format. A file is a table of chunks (Spark writes it, so a lost task leaves noth
 store that Spark reaches will do). A chunk holds whole documents: their ids, their numbers of tokens, the tokens
 before it in its part, and a payload: the chunk's id table, then blocks of at most ``BLOCK`` tokens. The
 table and each block have a header (magic, tokens, bytes, crc32) and a code. A block's crc32 is
-that of its ids as little-endian unsigned 32-bit numbers; a wrong checksum raises. Each block
+that of its ids as little-endian unsigned 16-bit numbers; a wrong checksum raises. Each block
 is coded from the same fresh model, so that with the chunk's table any block can be decoded alone.
 
 Model. The last id that followed the last two ids (order 2) and the last one (order 1), in this block, are
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import struct
 from array import array
+from collections.abc import Callable
 from zlib import compress, crc32, decompress
 from zlib import error as ZlibError
 
@@ -54,6 +55,7 @@ CLASSES, CLASS_TOKENS, STATES, LAST1, LAST2 = 16, 20_000, 4, 256, 1024
 TOTAL, SHIFT, LEAST = 32512, 5, 64
 _TOTAL_BITS, _LAST = np.uint64(15), np.uint64(1 << 63)
 _BOT, _WORD, _MASK = np.uint64(1 << 31), np.uint64(31), np.uint64((1 << 31) - 1)
+_32, _LOWER = np.uint64(32), np.uint64(0xFFFFFFFF)
 _16, _FIELD, _EACH, _TOP = np.uint64(16), np.uint64(0xFFFF), np.uint64(0x0001000100010000), np.uint64(0x8000800080000000)
 
 
@@ -66,8 +68,8 @@ def _packed(sums: list[int]) -> np.uint64:
 _FLOOR, _SEEN, _KEEP = _packed([LEAST, 2 * LEAST, 3 * LEAST]), np.array([_packed([(TOTAL >> SHIFT) * (j >= x) for j in range(3)]) for x in range(SYMBOLS)]), np.uint64(0x07FF07FF07FF0000)
 #: Buckets of following ids that tell classes apart, rounds of grouping, tokens from one that is looked at to the next, tokens counted at a time.
 FEATURES, GROUPINGS, SKIP, PIECE = 64, 6, 4, 1 << 18
-#: Steps that the encoder looks ahead.
-AHEAD = 32
+#: Steps that the encoder looks ahead, and lanes that are turned from columns into lines at a time.
+AHEAD, STRIP = 32, 64
 #: What rows start with, by the state: shares of the symbols in sixtieths.
 _START = np.array([_packed([sum(x[: i + 1]) * TOTAL // 60 for i in range(3)]) for x in ((2, 16, 38, 4), (16, 12, 30, 2), (2, 2, 48, 8), (30, 2, 26, 2))])
 
@@ -86,7 +88,8 @@ _LEVELS = _levels()
 class Table:
     """A chunk's ids: places 1 to n in ascending order, their classes, and their shares in each distribution.
 
-    low and size have a row for each class and one for the counts alone, and a last entry for hits.
+    shares (where an id's slots start in the upper half of a number, how many there are in the lower) have a row for each class and
+    one for the counts alone, and a last entry for hits.
     """
 
     def __init__(self, ids: np.ndarray, group: np.ndarray, level: np.ndarray, pairs: np.ndarray, pair_level: np.ndarray):
@@ -95,8 +98,9 @@ class Table:
         self.width = n + 1
         self.kind = np.uint16 if self.width <= 65536 else np.uint32  # of places
         self.ids, self.group = np.append(0, ids).astype(np.uint16), np.append(0, group).astype(np.int64)
-        self.low, self.size = (np.zeros((CLASSES + 1) * self.width + 1, np.uint64) for _ in range(2))
-        self.size[-1] = 1
+        self.base = self.group * self.width
+        self.shares = np.zeros((CLASSES + 1) * self.width + 1, np.uint64)
+        self.shares[-1] = 1
         self.by_slot = np.zeros((CLASSES << CLASS_BITS) + (1 << ALONE_BITS) + 1, self.kind)
         self._share(CLASSES, np.arange(1, n + 1), _LEVELS[level], ALONE_BITS)
         row, at = np.divmod(pairs, self.width)
@@ -108,8 +112,7 @@ class Table:
         if len(at):
             share = 1 + count * ((1 << bits) - len(at)) // count.sum()
             share[np.argmax(count)] += (1 << bits) - share.sum()
-            self.size[row * self.width + at] = share
-            self.low[row * self.width + at] = np.cumsum(share) - share
+            self.shares[row * self.width + at] = (np.cumsum(share) - share << 32) + share
             first = row << CLASS_BITS
             self.by_slot[first : first + (1 << bits)] = np.repeat(at, share)
 
@@ -196,7 +199,6 @@ class _Model:
     """
 
     def __init__(self, lanes: int, table: Table):
-        self.group = table.group
         self.rows = np.tile(_START, lanes)
         self.last1, self.last2 = np.zeros(lanes * LAST1, table.kind), np.zeros(lanes * LAST2, table.kind)
         lane = np.arange(lanes)
@@ -219,7 +221,6 @@ class _Model:
         state = (self.guess1 == self.guess2).view(np.int8)
         state += state
         state += (self.guess2 > 0).view(np.int8)
-        self.cls = self.group.take(prev)
         self.row = self.at[:k] + state
         self.seen = self.rows.take(self.row)
         return self.seen + _FLOOR
@@ -263,7 +264,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> bytes:
         some = order[s : s + LANES]
         for i, code in zip(some, _encode([blocks[i] for i in some], table), strict=True):
             ids = blocks[i]
-            out[i] = HEADER.pack(MAGIC, len(ids), len(code), crc32(ids.astype("<u4").tobytes())) + code
+            out[i] = HEADER.pack(MAGIC, len(ids), len(code), crc32(ids.astype("<u2").tobytes())) + code
     return table.pack() + b"".join(out)
 
 
@@ -279,27 +280,30 @@ def _encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     index = np.zeros(65536, table.kind)
     index[table.ids[1:]] = np.arange(1, table.width)
     ids = np.zeros((int(sizes[0]) if n else 0, n), table.kind)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = index[b]
+    for i in range(0, n, STRIP):
+        strip = np.zeros((len(blocks[i : i + STRIP]), len(ids)), table.kind)
+        for line, b in zip(strip, blocks[i : i + STRIP], strict=True):
+            line[: len(b)] = index.take(b)
+        ids[:, i : i + STRIP] = strip.T
     model = _Model(n, table)
     low, span, at = np.zeros(n, np.uint64), np.full(n, 1 << 62, np.uint64), np.zeros(n, np.int64)
     words = np.zeros((n, len(ids) + 8), np.uint32)
-    lane, hit, active, flat = np.arange(n), len(table.low) - 1, _active(sizes), words.ravel()
+    lane, one, active, flat = np.arange(n), np.uint64(1), _active(sizes), words.ravel()
     first = lane * words.shape[1]
     before = np.zeros((1, n), table.kind)
     for t, k in enumerate(active):
         if t % AHEAD == 0:
             # what depends on the ids alone, for some steps at once
             ahead = ids[t : t + AHEAD, :k].astype(np.int64)
-            places = table.group.take(np.concatenate([before[:, :k], ids[t : t + AHEAD - 1, :k]])[: len(ahead)]) * table.width + ahead
-            rare = table.size.take(places) == 0
-            np.copyto(places, CLASSES * table.width + ahead, where=rare)
+            shares = table.shares.take(table.base.take(np.concatenate([before[:, :k], ids[t : t + AHEAD - 1, :k]])[: len(ahead)]) + ahead)
+            rare = shares == 0
+            shares[rare] = table.shares.take(CLASSES * table.width + ahead[rare])
             drawn = rare + CLASS
             before = ids[t + AHEAD - 1 : t + AHEAD]
         x, i = ids[t, :k], t % AHEAD
         row = model.look(k)
         symbol = np.where(x == model.guess2, HIT2, np.where(x == model.guess1, HIT1, drawn[i, :k]))
-        place = np.where(symbol < CLASS, hit, places[i, :k])
+        own = np.where(symbol < CLASS, one, shares[i, :k])
         start, share = _edges(row, symbol)
         unit, lo = span[:k], low[:k]
         unit >>= _TOTAL_BITS
@@ -307,8 +311,9 @@ def _encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
         lo += start
         unit *= share
         unit >>= _BITS.take(symbol)
-        lo += unit * table.low.take(place)
-        unit *= table.size.take(place)
+        lo += unit * (own >> _32)
+        own &= _LOWER
+        unit *= own
         small = np.flatnonzero(unit < _BOT)
         if len(small):
             v, w = low.take(small), at.take(small)
@@ -342,7 +347,7 @@ def decode_blocks(data: bytes) -> list[np.ndarray]:
     for s in range(0, len(order), LANES):
         some = order[s : s + LANES]
         for i, ids in zip(some, _decode([found[i][2] for i in some], np.array([found[i][0] for i in some]), table), strict=True):
-            if crc32(ids.astype("<u4").tobytes()) != found[i][1]:
+            if crc32(ids.astype("<u2").tobytes()) != found[i][1]:
                 raise ValueError("a block's checksum is wrong")
             out[i] = ids
     return out
@@ -356,7 +361,7 @@ def _decode(codes: list[bytes], sizes: np.ndarray, table: Table) -> list[np.ndar
     ids = np.zeros((int(sizes[0]) if n else 0, n), table.kind)
     model = _Model(n, table)
     code, span, at = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1], np.full(n, 1 << 62, np.uint64), np.full(n, 2)
-    end, hit = words.shape[1] - 1, len(table.low) - 1
+    end, hit = words.shape[1] - 1, len(table.shares) - 1
     flat = words.ravel()
     first = np.arange(n) * words.shape[1]
     with np.errstate(divide="ignore"):  # nothing may be left of a damaged block's range
@@ -378,15 +383,17 @@ def _decode(codes: list[bytes], sizes: np.ndarray, table: Table) -> list[np.ndar
             drawn = symbol >= CLASS
             slot = (own // unit).view(np.int64)
             slot &= _SLOTS.take(symbol)  # a damaged block may go beyond
-            row = np.where(symbol == ALONE, CLASSES, model.cls)
+            row = np.where(symbol == ALONE, CLASSES, table.group.take(model.prev[:k]))
             slot += row << CLASS_BITS
             x = table.by_slot.take(slot)
             row *= table.width
             row += x
             place = np.where(drawn, row, hit)
             x = np.where(drawn, x, np.where(symbol == HIT1, model.guess1, model.guess2))
-            own -= unit * table.low.take(place)
-            unit *= table.size.take(place)
+            found = table.shares.take(place)
+            own -= unit * (found >> _32)
+            found &= _LOWER
+            unit *= found
             small = np.flatnonzero(unit < _BOT)
             if len(small):
                 w = at.take(small)
@@ -395,7 +402,25 @@ def _decode(codes: list[bytes], sizes: np.ndarray, table: Table) -> list[np.ndar
                 span[small] = span.take(small) << _WORD
             ids[t, :k] = x
             model.learn(k, symbol, x)
-    return [table.ids[ids[: sizes[i], i]] for i in range(n)]
+    out = []
+    for i in range(0, n, STRIP):
+        lines = table.ids.take(ids[:, i : i + STRIP].T)
+        out += [line[:size] for line, size in zip(lines, sizes[i : i + STRIP].tolist(), strict=True)]
+    return out
+
+
+class _Odd(Exception):
+    """A text with a piece that the library may cut otherwise."""
+
+
+class _Pieces(dict):
+    """Ids of pieces, as bytes; ``find`` gives those that aren't there."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.find(piece)
 
 
 class Encoder:
@@ -423,7 +448,7 @@ class Encoder:
         #: The characters that stand for bytes in the model's vocabulary.
         self.byte_chars = {c: c for c in visible} | {c: 256 + i for i, c in enumerate(sorted(set(range(256)) - set(visible)))}
         #: Pieces, spaces before them left out, used lately and before; parts of pieces without a space before.
-        self.young: dict[str, bytes] = {}
+        self.young = _Pieces(self._piece)
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.marks = {c: self._part(c) for c in ".,;:!?"}
@@ -435,19 +460,20 @@ class Encoder:
         if not text.replace("\n", "").isprintable() or any(s in text for s in self.specials):
             return np.frombuffer(self._whole(text), np.uint16)
         pieces = text.replace("\n", " \n").split(" ")
-        packed = list(map(self.young.get, pieces))
-        packed[0] = b""
-        missed = [i for i, x in enumerate(packed) if x is None]
-        new = {pieces[i] for i in missed}
-        if not pieces[0] or "" in new or "\n" in new:
+        first = pieces[0]
+        try:
+            if not first:
+                raise _Odd
+            packed = list(map(self.young.__getitem__, pieces[1:]))
+            packed.insert(0, self._of(first))
+        except _Odd:
             return np.frombuffer(self._whole(text), np.uint16)
-        packed[0] = self._of(pieces[0])
-        for i in missed:
-            packed[i] = self._piece(pieces[i])
         return np.frombuffer(b"".join(packed), np.uint16)
 
     def _piece(self, piece: str) -> bytes:
         """A piece that isn't among the young ones: with a space before it, unless it starts with a break."""
+        if piece in ("", "\n"):
+            raise _Odd
         x = self.young.get(piece) or self.old.get(piece)
         if x is None:
             # letters alone are never cut, and letters with a mark at their end only there
@@ -459,7 +485,7 @@ class Encoder:
                 x = self._of(piece if piece[0] == "\n" else f" {piece}")
         if len(piece) <= CACHED_CHARS:
             if len(self.young) >= CACHE_SIZE:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, _Pieces(self._piece)
             self.young[piece] = x
         return x
 
