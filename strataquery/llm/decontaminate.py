@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import map_arrow, stash
+from strataquery.llm.common import in_arrow, map_arrow, stash
 from strataquery.llm.toxicity import words_of
 
 BLOCK, WINDOW, RANK, POWER, ITEMS = 16, 48, 256, 2, 2000
@@ -140,7 +140,7 @@ def frequencies(docs: DataFrame, text: str, vocab: dict[bytes, int]) -> tuple[in
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["w", "n"])
 
-    rows = docs.select(docs[text].alias("text")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(docs.select(docs[text].alias("text")), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(len(vocab), np.int64), 0
     for r in rows:
         if r.w < 0:
@@ -173,7 +173,7 @@ def latent_space(rows: DataFrame, width: int, rank: int = RANK, power: int = POW
                         out[w] += np.outer(x, y)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["m"])
 
-        parts = rows.mapInArrow(run, "m binary").toLocalIterator()
+        parts = in_arrow(rows, run, "m binary").toLocalIterator()
         return sum(np.frombuffer(r.m).reshape(-1, q.shape[1]) for r in parts)
 
     q = np.random.default_rng(seed).normal(size=(width, min(width, rank)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import drop_stash, held_out, map_arrow, stash
+from strataquery.llm.common import drop_stash, held_out, in_arrow, map_arrow, stash
 from strataquery.llm.toxicity import platt
 
 PER_CLASS, ROUNDS, THRESHOLD, DECAY = 3000, 5, 0.3, 2.0
@@ -239,7 +239,7 @@ def _sums(kept: DataFrame, views: tuple[Logistic, Logistic]) -> np.ndarray:
                 total += np.frombuffer(m.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    rows = kept.mapInArrow(tell, "m binary").repartition(ROWS).mapInArrow(add, "m binary").collect()
+    rows = in_arrow(in_arrow(kept, tell, "m binary").repartition(ROWS), add, "m binary").collect()
     return sum((np.frombuffer(r.m) for r in rows), np.zeros(width))
 
 

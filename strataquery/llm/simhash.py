@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquery.llm.common import free_name, map_arrow, release, stash
+from strataquery.llm.common import free_name, in_arrow, map_arrow, stash
 from strataquery.llm.components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -178,7 +178,6 @@ def _linked(rows: DataFrame, limit: int) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("filed", pa.bool_()), ("block", pa.int32())])
 
     def run(batches):
-        release()
         carry: list[tuple] = []  # the last group's rows so far, as arrays
         over, seen = None, 0  # a group over the limit and its rows so far
 
@@ -225,7 +224,7 @@ def _linked(rows: DataFrame, limit: int) -> DataFrame:
         if carry:
             yield edges(carry)
 
-    return rows.mapInArrow(run, "kind int, a long, b long, filed boolean, block int")
+    return in_arrow(rows, run, "kind int, a long, b long, filed boolean, block int")
 
 
 def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -132,3 +133,35 @@ def test_stages_take_odd_tables(spark, messy, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, empty, SF).count() == 0
     assert 0 < stage(spark, messy, SF).count() <= messy.count()
+
+
+class Caught:
+    """Takes the function that goes to the workers."""
+
+    sparkSession = None
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("how", ["map_arrow", "in_arrow"])
+def test_a_worker_drops_what_another_operator_kept(monkeypatch, how):
+    from pyspark import cloudpickle
+
+    from strataquery.llm import common
+
+    monkeypatch.setattr(common, "bounded", lambda spark: None, raising=False)
+    run = common.map_arrow(Caught(), lambda: lambda b: b, "x long") if how == "map_arrow" else common.in_arrow(Caught(), lambda batches: batches, "x long")
+    sent = cloudpickle.dumps(run)
+    common.worker_state("another's", list)
+    assert list(cloudpickle.loads(sent)(iter([]))) == [] and not common._STATE
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from strataquery.llm import common
+
+    df = spark.range(3000).select(F.repeat(F.lit("x"), 20_000).alias("text")).coalesce(1)
+    sizes = common.map_arrow(df, lambda: lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]), "n long").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) * 20_000 <= 5_000_000
