@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strataquery.llm import simhash, suffix_dedup
+from strataquery.llm import queries, simhash, suffix_dedup
 from strataquery.llm.components import components
 
 
@@ -89,6 +89,29 @@ def test_dedup_columns_and_empty(messy, empty):
         assert r.n_removed or r.kept_text == r.text
 
 
+def test_query_returns_documents_without_planted_passages(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghéñ") for _ in range(rng.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(68)
+    assert len(passage.encode()) >= 400
+    own = [(text(rng.randint(0, 90)), text(rng.randint(20, 90))) for _ in range(30)]
+    # bytes that differ, so that a match ends with the passage
+    planted = [f"{a}<{chr(65 + i)}{passage}{chr(65 + i)}>{b}" for i, (a, b) in enumerate(own)]
+    rows = list(enumerate(planted + [text(150) for _ in range(30)] + ["", None]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_suffix_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_chars"]
+    found = {r.doc_id: r for r in got.collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        r, want = found[i], t.replace(passage, "") if i < 30 else t
+        data = (want or "").encode()
+        assert (r.text, r.n_chars) == (want, None if want is None else len(want))
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len((t or "").encode()), len((t or "").encode()) - len(data), int(i < 30))
+        assert r.kept_sha256 == hashlib.sha256(data).hexdigest()
+
+
 def test_refinement_of_random_bytes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 3000).astype(np.uint8)
